@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.language_id import identify_languages
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.quality_classifier import classify_quality
+from quillgraph.llm.quality_rules import quality_rules
+from quillgraph.llm.secret_scan import scan_secrets
+from quillgraph.llm.warc import archive_round_trip
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark, sf_dir):
+    return identify_languages(_docs(spark, sf_dir))
+
+
+def op4_warc(spark, sf_dir):
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_mixing(spark, sf_dir):
     return mix_sources(_docs(spark, sf_dir)).drop("source")
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules(_docs(spark, sf_dir))
+
+
+def op7_secret_scan(spark, sf_dir):
+    return scan_secrets(_docs(spark, sf_dir))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    return classify_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(_docs(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -56,6 +86,21 @@ cut AS (
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - starts)) AS BIGINT) AS taken, mix_key
 FROM cut
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT hex, max(page_id) AS top_id FROM p GROUP BY hex),
+x AS (
+  SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, r.top_id,
+         list_transform(range(40), lambda i: strpos('0123456789abcdef', p.hex[i + 1]) - 1) AS n
+  FROM p JOIN r ON p.hex = r.hex)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + (((n[k // 4 * 5 + 1] * 65536 + n[k // 4 * 5 + 2] * 4096 + n[k // 4 * 5 + 3] * 256 + n[k // 4 * 5 + 4] * 16 + n[k // 4 * 5 + 5])
+           >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31)]), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM top_id THEN NULL ELSE top_id END AS refers_to
+FROM x
 """,
     "op9_exact_dedup": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quillgraph.llm.exact_dedup import exact_dedup
+from quillgraph.llm.jaccard_join import jaccard_components
 from quillgraph.llm.language_id import identify_languages
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.packing import pack_documents
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import quality_rules
 from quillgraph.llm.secret_scan import scan_secrets
@@ -15,6 +17,10 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark, sf_dir):
+    return pack_documents(_docs(spark, sf_dir))
+
+
 def op3_language_id(spark, sf_dir):
     return identify_languages(_docs(spark, sf_dir))
 
@@ -43,7 +49,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_components(_docs(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
@@ -51,6 +62,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {

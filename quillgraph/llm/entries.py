@@ -10,6 +10,7 @@ from quillgraph.llm.packing import pack_documents
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import quality_rules
 from quillgraph.llm.secret_scan import scan_secrets
+from quillgraph.llm.suffix_dedup import suffix_dedup
 from quillgraph.llm.warc import archive_round_trip
 
 
@@ -21,6 +22,10 @@ def op1_packing(spark, sf_dir):
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(_docs(spark, sf_dir))
+
+
 def op3_language_id(spark, sf_dir):
     return identify_languages(_docs(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,

@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm import id_filter
 from quillgraph.llm.common import materialize, partitions, utf8_view
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.shingles import mix, shingle_sets
 
 U = np.uint64
-#: log2 of the width of the table of token counts, and of the bits of the filter of ids: fixed sizes.
-WIDTH, FILTER = 20, 23
+#: log2 of the width of the table of token counts, a fixed size.
+WIDTH = 20
 CHUNKS = 16
 #: Independent min-wise tokens by which hubs are found.
 HUBS = 6
@@ -85,35 +86,19 @@ def _add_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**32 - 1).astype("<u4").tobytes(), 1) for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids in a filter of 2**FILTER bits, whatever their number: a full filter only passes more than it need."""
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))
-    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    words = ids.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(1 << (FILTER - 6), np.int64)
-    got = words.toPandas()
-    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return bits
-
-
-def _in_filter(batch, bits: np.ndarray) -> np.ndarray:
-    at = batch.column(2).to_numpy()
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
-
-
 def _passed(bits: np.ndarray):
     """Rows (id, text, place in the filter) that the filter passes."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in_filter(batch, bits))).select(["id", "text"])
+            yield batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy()))).select(["id", "text"])
 
     return run
 
 
 def _posted_alone(bits: np.ndarray, posted):
     def run(batches):
-        rest = (batch.filter(pa.array(~_in_filter(batch, bits))) for batch in batches)
+        rest = (batch.filter(pa.array(~id_filter.passes(bits, batch.column(2).to_numpy()))) for batch in batches)
         yield from posted(pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(0)], names=["id", "text", "component"]) for b in rest)
 
     return run
@@ -122,7 +107,7 @@ def _posted_alone(bits: np.ndarray, posted):
 def _sets_of(bits: np.ndarray, size: int):
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(_in_filter(batch, bits)))
+            batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
             sets = [s.tobytes() for s in shingle_sets(*utf8_view(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
@@ -179,8 +164,8 @@ class JaccardJoin:
         if not pairs.limit(1).count():
             return pairs
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        bits = _id_filter(ids)
-        rows = self.rows.where("id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER)))
+        bits = id_filter.build(ids, "id")
+        rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
         sets = rows.mapInArrow(_sets_of(bits, self.size), "id long, tokens binary").where(F.length("tokens") > 0)
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
         salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
@@ -205,8 +190,8 @@ class JaccardJoin:
         # The text of a node is that of its smallest id; ids of other rows find no partner.
         keyed = self.docs.where("n > 0").select("id", "digest").distinct().join(named, ["id", "digest"], "left").select("id", "component")
         keyed = materialize(keyed.groupBy("id").agg(F.min("component").alias("component")), "node-components")
-        bits = _id_filter(keyed.where("component IS NULL OR component <> id").select("id"))
-        rows = self.rows.where("id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER)))
+        bits = id_filter.build(keyed.where("component IS NULL OR component <> id"), "id")
+        rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
         posted = _postings(self.table, n, self.size, self.num, self.den)
         alone = rows.mapInArrow(_posted_alone(bits, posted), POSTINGS)  # the filter holds no such id: a node that is its own component
         others = rows.mapInArrow(_passed(bits), "id long, text string").join(keyed.where("component IS NOT NULL"), "id").select("id", "text", "component")

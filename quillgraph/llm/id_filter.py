@@ -27,3 +27,29 @@ def build(rows: DataFrame, *keys: str, bits: int = 23) -> np.ndarray:
 
 def passes(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _split(table: np.ndarray, keep: bool):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            got = passes(table, batch.column(batch.num_columns - 1).to_numpy())
+            yield batch.filter(pa.array(got if keep else ~got)).select(batch.schema.names[:-1])
+
+    return run
+
+
+def without(rows: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """rows (all columns) whose keys are not in dropped: only rows that the filter of dropped keys passes are shuffled."""
+    table = build(dropped, *keys)
+    placed = rows.withColumn("_place", place(*keys))
+    clean = placed.mapInArrow(_split(table, False), rows.schema)
+    maybe = placed.mapInArrow(_split(table, True), rows.schema)
+    return clean.unionByName(maybe.join(dropped.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def within(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """rows (all columns) whose keys are in wanted: only rows that the filter passes are shuffled."""
+    maybe = rows.withColumn("_place", place(*keys)).mapInArrow(_split(build(wanted, *keys), True), rows.schema)
+    return maybe.join(wanted.select(*keys).distinct(), list(keys), "left_semi")

@@ -25,6 +25,11 @@ MOST_EPOCHS = 2.0
 RANGE_DIGITS = 3
 
 
+def n_words(text_col: str = "text"):
+    """Words of a text."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """Targets of sources (source, source_size): shares by weight, cut at most times the size, the excess reshared by weight.
 
@@ -54,7 +59,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), and mix_key, the place in the source's order."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = n_words(text_col)
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("mix_key")), "mix-sizes")
     rows = rows.withColumn("range", F.substring("mix_key", 1, RANGE_DIGITS))

@@ -103,3 +103,18 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
     model = train(docs, labels.where(~held_out), max_train)
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _keeper(model: dict, at: int, threshold: float):
+    def run(batches):
+        for batch in batches:
+            score = boosted_trees.predict(model, document_features(batch.column(at))) if batch.num_rows else np.zeros(0)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, max_train: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that the classifier does not reject. Scored where they are read: no shuffle."""
+    model = train(docs, labels.where(crc_mod("doc_id", folds) != held_out_fold), max_train)
+    return docs.mapInArrow(_keeper(model, docs.columns.index("text"), threshold), docs.schema)

@@ -5,6 +5,8 @@ documents in a table of fixed width. Of a document of s tokens the first
 s - ceil(t s) + m hold at least m of those that it shares with any document it links to, for
 every m; so two documents that link share min(m, m') tokens of their prefixes. Each
 document chooses its m: a longer prefix costs postings, more matches spare candidates.
+When two documents meet, both sizes are known and with them the tokens they must share; only
+tokens at the places that this leaves in both count as matches.
 
 Hot groups. Equal sets are one node before anything else. Near copies are first tied to
 hub documents (the smallest id among those with a common min-wise token, an aggregation that
@@ -36,7 +38,9 @@ from quillgraph.llm.shingles import mix, shingle_sets
 
 U = np.uint64
 #: log2 of the width of the table of token counts, a fixed size.
-WIDTH = 20
+WIDTH = 22
+#: Steps of the logarithm of a count that the table keeps apart.
+STEPS = 16
 CHUNKS = 16
 #: Independent min-wise tokens by which hubs are found.
 HUBS = 6
@@ -45,7 +49,7 @@ MOST_MATCHES, VERIFY = 8, 50.0
 #: Estimated postings of a token beyond which they are split into blocks; pairs of blocks share the work.
 BLOCK = 200_000
 #: Members of a hub that are verified in one task.
-MEMBERS = 2_000
+MEMBERS = 500
 #: Pairs that are counted at a time.
 PAIRS = 4_000_000
 
@@ -154,7 +158,9 @@ class JaccardJoin:
         self.docs = table.where("chunk IS NULL").select("id", "n", "digest", "hubs")
         counts = table.where("chunk IS NOT NULL").select("chunk", "counts")
         added = counts.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").orderBy("chunk").collect()  # fixed size
-        self.table = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in added]) if added else np.zeros(1 << WIDTH, np.uint32)
+        counted = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in added]) if added else np.zeros(1 << WIDTH, np.uint32)
+        self.usual = float(counted.mean())
+        self.table = np.round(STEPS * np.log2(np.maximum(counted, 1))).astype(np.uint16)
         usable = self.docs.where("n > 0 AND id IS NOT NULL")
         self.nodes = materialize(usable.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("hubs").alias("hubs")), "nodes")
 
@@ -192,7 +198,7 @@ class JaccardJoin:
         keyed = materialize(keyed.groupBy("id").agg(F.min("component").alias("component")), "node-components")
         bits = id_filter.build(keyed.where("component IS NULL OR component <> id"), "id")
         rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
-        posted = _postings(self.table, n, self.size, self.num, self.den)
+        posted = _postings(self.table, self.usual, n, self.size, self.num, self.den)
         alone = rows.mapInArrow(_posted_alone(bits, posted), POSTINGS)  # the filter holds no such id: a node that is its own component
         others = rows.mapInArrow(_passed(bits), "id long, text string").join(keyed.where("component IS NOT NULL"), "id").select("id", "text", "component")
         return alone.unionByName(others.mapInArrow(posted, POSTINGS))
@@ -216,7 +222,7 @@ class JaccardJoin:
         return per_id.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-POSTINGS = "bucket int, tokens binary, sides binary, owners binary, ids binary, components binary, sizes binary, needs binary"
+POSTINGS = "bucket int, tokens binary, sides binary, places binary, owners binary, ids binary, components binary, sizes binary, needs binary"
 
 
 def choose_matches(frequency: np.ndarray, size: int, overlap: int) -> int:
@@ -226,13 +232,13 @@ def choose_matches(frequency: np.ndarray, size: int, overlap: int) -> int:
     return int(ms[np.argmin(scanned * (1 + VERIFY / ms.astype(float) ** 2))])
 
 
-def _postings(table: np.ndarray, buckets: int, size: int, num: int, den: int):
-    usual = float(table.mean())
+def _postings(table: np.ndarray, usual: float, buckets: int, size: int, num: int, den: int):
+    count_of = 2.0 ** (np.arange(32 * STEPS + 1) / STEPS)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             ids, components = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            tokens, owner, side, sizes, needs = [], [], [], [], []
+            tokens, owner, side, place, sizes, needs = [], [], [], [], [], []
             for k, s in enumerate(shingle_sets(*utf8_view(batch.column(1)), size)):
                 n = len(s)
                 sizes.append(n)
@@ -241,38 +247,41 @@ def _postings(table: np.ndarray, buckets: int, size: int, num: int, den: int):
                     continue
                 seen = table[(s >> U(64 - WIDTH)).astype(np.int64)]
                 order = np.argsort(seen, kind="stable")
-                frequency = np.maximum(seen[order] - usual, 1.0)
+                frequency = np.maximum(count_of[seen[order]] - usual, 1.0)
                 overlap = -(-num * n // den)
                 m = choose_matches(frequency, n, overlap)
                 needs.append(m)
                 at = order[: n - overlap + m]
-                blocks = np.ceil(np.maximum(seen[at] - usual, 1.0) / BLOCK).astype(np.int64)
+                blocks = np.ceil(np.maximum(count_of[seen[at]] - usual, 1.0) / BLOCK).astype(np.int64)
                 one = blocks == 1
                 tokens.append(s[at[one]])
                 owner.append(np.full(int(one.sum()), k))
                 side.append(np.full(int(one.sum()), 2, np.uint8))
-                for t, many in zip(s[at[~one]], blocks[~one]):
+                place.append(np.flatnonzero(one))
+                for t, many, p in zip(s[at[~one]], blocks[~one], np.flatnonzero(~one)):
                     own = int(mix(np.array([ids[k]], np.int64).view(U) ^ t)[0] % U(many))
                     other = np.arange(many)
                     low, high = np.minimum(own, other), np.maximum(own, other)
                     tokens.append(mix(t + (low * many + high).astype(U) * U(0x9E3779B97F4A7C15)))
                     owner.append(np.full(many, k))
+                    place.append(np.full(many, p))
                     side.append(np.where(other == own, 2, (own > other).astype(np.uint8)).astype(np.uint8))
             if not tokens:
                 continue
-            tokens, owner, side = np.concatenate(tokens), np.concatenate(owner), np.concatenate(side)
+            tokens, owner, side, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(side), np.concatenate(place)
+            place = np.where(place < 1 << 16, place, 0).astype(np.uint16)  # a place too far to be kept passes every test
             sizes, needs = np.array(sizes, np.int32), np.array(needs, np.int8)
             bucket = (tokens % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for b in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[b] : cuts[b + 1]]
                 who, local = np.unique(owner[at], return_inverse=True)
                 short = (tokens[at] // U(buckets)).astype(np.uint32)  # a rare clash only adds a candidate
-                for column, v in zip(out, (int(b), short.tobytes(), side[at].tobytes(), local.astype(np.uint32).tobytes(), ids[who].tobytes(), components[who].tobytes(), sizes[who].tobytes(), needs[who].tobytes())):
+                for column, v in zip(out, (int(b), short.tobytes(), side[at].tobytes(), place[at].tobytes(), local.astype(np.uint16).tobytes(), ids[who].tobytes(), components[who].tobytes(), sizes[who].tobytes(), needs[who].tobytes())):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["bucket", "tokens", "sides", "owners", "ids", "components", "sizes", "needs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["bucket", "tokens", "sides", "places", "owners", "ids", "components", "sizes", "needs"])
 
     return run
 
@@ -286,21 +295,22 @@ def _pairs(num: int, den: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda i, t: np.frombuffer(batch.column(i)[row].as_buffer(), t)  # noqa: B023,E731
-                part = (get(1, np.uint32).copy(), get(2, np.uint8).copy(), get(3, np.uint32) + np.uint32(docs), get(4, np.int64).copy(), get(5, np.int64).copy(), get(6, np.int32).copy(), get(7, np.int8).copy())
-                docs += len(part[3])
+                part = (get(1, np.uint32).copy(), get(2, np.uint8).copy(), get(3, np.uint16).copy(), get(4, np.uint16).astype(np.uint32) + np.uint32(docs), get(5, np.int64).copy(), get(6, np.int64).copy(), get(7, np.int32).copy(), get(8, np.int8).copy())
+                docs += len(part[4])
                 parts.append(part)
         if not parts:
             return
-        tokens, side, owner, ids, component, sizes, needs = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        tokens, side, place, owner, ids, component, sizes, needs = (np.concatenate([p[i] for p in parts]) for i in range(8))
         parts.clear()
-        yield from _count_pairs(tokens, side, owner, ids, component, sizes, needs, num, den)
+        yield from _count_pairs(tokens, side, place, owner, ids, component, sizes, needs, num, den)
 
     return run
 
 
-def _count_pairs(tokens, side, owner, ids, component, sizes, needs, num, den):
+def _count_pairs(tokens, side, place, owner, ids, component, sizes, needs, num, den):
     order = np.lexsort((component[owner], tokens))
-    tokens, side, owner = tokens[order], side[order], owner[order]
+    tokens, side, place, owner = tokens[order], side[order], place[order].astype(np.int64), owner[order]
+    sizes, needs = sizes.astype(np.int64), needs.astype(np.int64)
     comp = component[owner]
     new_run = np.concatenate([[True], tokens[1:] != tokens[:-1]])
     run_end = np.append(np.flatnonzero(new_run)[1:], len(tokens))[np.cumsum(new_run) - 1]
@@ -317,8 +327,11 @@ def _count_pairs(tokens, side, owner, ids, component, sizes, needs, num, den):
         left = np.repeat(who, many)
         right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(comp_end[who], many)
         a, b = owner[left].astype(np.int64), owner[right].astype(np.int64)
-        alike = (den * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= num * np.maximum(sizes[a], sizes[b]).astype(np.int64)) & (ids[a] != ids[b])
+        alike = (den * np.minimum(sizes[a], sizes[b]) >= num * np.maximum(sizes[a], sizes[b])) & (ids[a] != ids[b])
         alike &= (side[left] == 2) | (side[left] != side[right])
+        # A pair of these sizes must share `overlap` tokens, so `need` of them stand this early in both.
+        overlap, need = -(-num * (sizes[a] + sizes[b]) // (num + den)), np.minimum(needs[a], needs[b])
+        alike &= (place[left] < sizes[a] - overlap + need) & (place[right] < sizes[b] - overlap + need)
         a, b = a[alike], b[alike]
         code, count = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
         codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)

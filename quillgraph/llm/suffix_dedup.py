@@ -45,7 +45,7 @@ PLACE = 20
 #: Bits of the filter of anchors, a fixed size.
 ANCHOR_BITS = 25
 #: Runs in a suffix array, and kinds of runs of one anchor in a shard.
-SHARD_RUNS = 4_000
+SHARD_RUNS = 2_000
 
 _RANDOM = np.random.default_rng(77)
 BYTE = _RANDOM.integers(0, 2**64, 256, dtype=U)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
-from quillgraph.operators import audit, citedness, enrich, expand, leverage, match, resolve, worklists
+from quillgraph.operators import audit, citedness, enrich, expand, leverage, match, reports, resolve, scoring, worklists
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
 
@@ -492,6 +492,52 @@ def _(v):
     return expand.score_candidates(v("works"), v("relevance"))
 
 
+# ── Scoring and reports ──────────────────────────────────────────────────────
+RULE = "rule AS (SELECT w.key, CASE WHEN trim(w.title) = '' THEN 0 ELSE least(5, 1 + (SELECT count(*) FROM issues i WHERE i.core AND contains(lower(w.title), i.stem))) END AS score FROM works w)"
+
+
+@query("rule_relevance", f"WITH {RULE} SELECT key, score FROM rule", "works", "issues")
+def _(v):
+    return scoring.rule_relevance(v("works"), v("issues"))
+
+
+@query("recorded_scores", f"WITH {RULE} SELECT w.key, coalesce(r.score, u.score) AS score, CASE WHEN r.score IS NOT NULL THEN 'recorded' ELSE 'scored' END AS how FROM works w LEFT JOIN relevance r ON w.key = r.key JOIN rule u ON w.key = u.key", "works", "issues", "relevance")
+def _(v):
+    return scoring.recorded(v("works"), v("relevance"), lambda rows: scoring.rule_relevance(rows, v("issues")))
+
+
+@query("title_fit", f"WITH {RULE} SELECT r.key, r.score AS priority, {MREVIEW} AS exclude FROM rule r JOIN works w ON r.key = w.key", "works", "issues")
+def _(v):
+    return scoring.title_fit(v("works"), v("issues"))
+
+
+@query("scorer_trial", f"""WITH {LEV}, td AS (SELECT w.key, i.issue_id, i.weight, CAST(least(3, floor((length(lower(w.title)) - length(replace(lower(w.title), i.stem, ''))) * 30.0 / greatest(1, length(w.title)))) AS INT) AS depth FROM works w CROSS JOIN issues i WHERE i.core),
+tl AS (SELECT key, round(sum(weight * depth), 1) AS lev FROM td GROUP BY key) SELECT l.key, l.lev AS lev_a, t.lev AS lev_b, round(t.lev - l.lev, 1) AS diff, (l.lev >= 9) <> (t.lev >= 9) AS crossed FROM lev l JOIN tl t ON l.key = t.key""", "works", "depths", "issues")
+def _(v):
+    by_title = leverage.leverage(scoring.rule_depths(v("works"), v("issues")), v("issues"))
+    return scoring.trial(leverage.leverage(v("depths"), v("issues")), by_title)
+
+
+@query("candidate_report", "SELECT w.key, r.score, w.citations, w.title, w.year, CASE WHEN coalesce(trim(doi), '') <> '' THEN concat('https://doi.org/', trim(doi)) ELSE concat('https://openalex.org/', oa_id) END AS url FROM works w JOIN relevance r ON w.key = r.key WHERE r.score >= 3", *RES)
+def _(v):
+    return reports.candidates(v("works"), v("relevance")).orderBy(F.col("score").desc(), F.col("citations").desc(), "key")
+
+
+@query("candidate_counts", "SELECT score, hop, count(*) AS n, count(*) FILTER (trim(abstract) <> '') AS with_abstract FROM (SELECT r.score, w.hop, w.abstract FROM works w JOIN relevance r ON w.key = r.key) GROUP BY CUBE (score, hop)", *RES)
+def _(v):
+    return reports.candidate_counts(v("works"), v("relevance"))
+
+
+@query("best_per_issue", "SELECT * FROM (SELECT d.issue_id, d.key, d.depth, coalesce(r.score, 0) AS score, w.title, row_number() OVER (PARTITION BY d.issue_id ORDER BY d.depth DESC, coalesce(r.score, 0) DESC, d.key) AS place FROM depths d JOIN works w ON d.key = w.key LEFT JOIN relevance r ON d.key = r.key WHERE d.depth >= 1) WHERE place <= 25", "works", "depths", "relevance")
+def _(v):
+    return reports.best_per_issue(worklists.issue_lists(v("depths"), v("works"), v("relevance")))
+
+
+@query("overlooked_report", f"WITH {REFS}, c AS (SELECT doi, count(DISTINCT source_paper) AS cocite FROM refs WHERE gone GROUP BY doi) SELECT CASE WHEN cocite >= 2 THEN 'cocited' ELSE 'single' END AS lane, count(*) AS n, max(cocite) AS most FROM c GROUP BY 1", "works", "edges")
+def _(v):
+    return reports.overlooked(match.cocited(match.absent_references(references(v), v("works"))))
+
+
 # ── Texts and pages ──────────────────────────────────────────────────────────
 @query("case_citations", None)
 def _(v):

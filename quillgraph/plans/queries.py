@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
-from quillgraph.operators import audit, citedness, enrich, expand, leverage, match, reports, resolve, scoring, worklists
+from quillgraph.operators import audit, citedness, cluster, enrich, expand, leverage, match, reports, resolve, scoring, worklists
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
 
@@ -330,6 +330,17 @@ def _(v):
     return audit.detect(v("works"), v("relevance"), v("edges"))
 
 
+@query("auto_merge_map", None)
+def _(v):
+    return audit.auto_merge_map(v("works"), v("relevance"))
+
+
+@query("embedding_clusters", None)
+def _(v):
+    dimensions = v("embeddings").select(F.max(F.size("embedding"))).first()[0] or 1
+    return cluster.density_clusters(v("embeddings"), dimensions)
+
+
 @query("issue_lists", "SELECT d.issue_id, d.key, d.depth, coalesce(r.score, 0) AS score, w.title FROM depths d JOIN works w ON d.key = w.key LEFT JOIN relevance r ON d.key = r.key WHERE d.depth >= 1", "works", "depths", "relevance")
 def _(v):
     return worklists.issue_lists(v("depths"), v("works"), v("relevance"))

@@ -230,3 +230,30 @@ def test_the_library_stands_without_its_subpackage():
     for f in root.rglob("*.py"):
         if f.parent.name != "llm":
             assert "quillgraph.llm" not in f.read_text()
+
+
+def test_auto_merges_follow_chains(spark, works):
+    """a is b's empty twin, b shares a DOI with c under another title: all three are one work."""
+    w = works(work("oa:a", "Same Title"), work("doi:b", "Same title", doi="10.1/b", abstract="x"), work("s2:c", "Another", "Lee, A", doi="10.1/B", abstract="longer"), work("doi:z", "Else", "Zed, Z", doi="10.1/z"))
+    got = {r["alias"]: r["canonical"] for r in audit.auto_merge_map(w.drop("score"), scores(w)).collect()}
+    assert got == {"oa:a": "doi:b", "s2:c": "doi:b"}
+
+
+def test_components(spark):
+    from quillgraph.operators.components import connected_components
+
+    edges = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(n, 5) for n in (5, 6, 7, 8, 9)} | {(1, 1), (2, 1)}
+
+
+def test_density_clusters(spark):
+    import random
+
+    from quillgraph.operators import cluster
+
+    rng = random.Random(1)
+    centre = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(2)]
+    rows = [(i, [c + rng.gauss(0, 0.001) for c in centre[i % 2]]) for i in range(40)] + [(100 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3)]
+    got = {r["vec_id"]: r["cluster"] for r in cluster.density_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 8).collect()}
+    assert len({got[i] for i in range(0, 40, 2)}) == 1 and len({got[i] for i in range(1, 40, 2)}) == 1 and got[0] != -1
+    assert cluster.cluster_sizes(cluster.density_clusters(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), 8)).first()["cluster"] == -1

@@ -1,16 +1,17 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous rounds.
 
-Lengths are taken in bands, long ones first. In a round all documents of the band and all
-gaps of open sequences stand in one order, by size downwards, gaps before documents of the
-same size. Read as brackets, a gap opens and a document closes: the document gets the
+Lengths are taken in bands, long ones first, a round for each. In a round all documents of
+the band and all gaps of open sequences stand in one order, by size downwards, gaps before
+documents of the same size; empty sequences, as many as the band could need, stand before
+them all. Read as brackets, a gap opens and a document closes: the document gets the
 nearest gap before it that is still open, which is the smallest one left that is large
 enough (its successor), and no gap is given twice. The height of a bracket comes from
 prefix sums: running sums over size classes (2 x capacity at most) and salted ranks within
 a class. Brackets of one height alternate, so a window by height finds every pair; the
-conflict over a gap is resolved by rank. Gaps then shrink, and the round repeats with the
-documents that got none. When a round places few, as many sequences are opened as the rest of the
-band needs. A gap with room for several documents of the band stands in
-the order as several gaps.
+conflict over a gap is resolved by rank. Gaps then shrink, and the next band's round
+follows. A gap with room for several documents of the band stands in the order as several
+gaps. Empty sequences are taken only where no gap is left, the last ones first, so all that
+are opened are full of the band but one.
 
 Defined results: a null text is an empty document (the end mark alone); rows that repeat are
 packed each; longer documents are cut at the capacity, and only those; an empty table gives
@@ -85,8 +86,8 @@ def _slots(gaps: DataFrame, lo: int, hi: int, wanted: int) -> DataFrame:
     return room.select("seq", "free", "many", each.alias("slot")).select("seq", size.cast("long").alias("size"), "slot")
 
 
-def match_round(docs: DataFrame, slots: DataFrame, n_rows: int) -> DataFrame:
-    """docs (item, length) and slots (seq, size, slot): the matches (item, length, seq)."""
+def match_round(docs: DataFrame, slots: DataFrame, n_rows: int, empty: DataFrame, n_empty: int) -> DataFrame:
+    """docs (item, length), slots (seq, size, slot) and empty (seq, height 1 to n_empty): the matches (item, length, seq) of all documents."""
     salts = max(1, min(1024, -(-n_rows // RANKED)))
     rows = docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("item").alias("id"), F.lit(0).alias("slot")).unionByName(
         slots.select("size", F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot")
@@ -94,51 +95,43 @@ def match_round(docs: DataFrame, slots: DataFrame, n_rows: int) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "slot"), F.lit(salts)).cast("int"))
     counts = rows.groupBy("size", "kind", "salt").count()
     classes = counts.groupBy("size", "kind").agg(F.sum("count").alias("n"))  # 2 x capacity rows at most
-    order = Window.orderBy(F.col("size").desc(), "kind")
-    upto = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    classes = classes.withColumn("after", upto).withColumn("before", F.col("after") - F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n")))
-    floor = F.least(F.lit(0), F.coalesce(F.min("after").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    classes = classes.withColumn("floor", floor)
+    step = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    upto = F.sum(step).over(Window.orderBy(F.col("size").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    classes = classes.select("size", "kind", (F.lit(n_empty) + upto - step).alias("before"))
     within = Window.partitionBy("size", "kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("first", F.coalesce(F.sum("count").over(within), F.lit(0))).join(classes.select("size", "kind", "before", "floor"), ["size", "kind"]).drop("count")
+    starts = counts.withColumn("first", F.coalesce(F.sum("count").over(within), F.lit(0))).join(classes, ["size", "kind"]).drop("count")
     rank = F.row_number().over(Window.partitionBy("size", "kind", "salt").orderBy("id", "slot")) + F.col("first")
-    rows = rows.join(starts, ["size", "kind", "salt"])
     height = F.when(F.col("kind") == 0, F.col("before") + rank).otherwise(F.col("before") - rank + 1)
-    rows = rows.withColumn("height", height).where((F.col("kind") == 0) | (F.col("height") > F.col("floor")))
+    rows = rows.join(starts, ["size", "kind", "salt"]).select("kind", "id", "size", height.alias("height"))
+    rows = rows.unionByName(empty.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.lit(2**62).alias("size"), "height"))
     line = Window.partitionBy("height").orderBy(F.col("size").desc(), "kind")
-    rows = rows.select("kind", "id", "size", F.lag("kind").over(line).alias("kind_before"), F.lag("id").over(line).alias("seq"))
-    return rows.where((F.col("kind") == 1) & (F.col("kind_before") == 0)).select(F.col("id").alias("item"), F.col("size").alias("length"), "seq")
+    rows = rows.select("kind", "id", "size", F.lag("id").over(line).alias("seq"))
+    return rows.where("kind = 1").select(F.col("id").alias("item"), F.col("size").alias("length"), "seq")
 
 
 def best_fit_pack(items: DataFrame, capacity: int) -> DataFrame:
-    """items (item, length) with distinct items and lengths from 1 to capacity: (item, length, seq)."""
+    """items (item, length) with distinct items, 0 or more, and lengths from 1 to capacity: (item, length, seq)."""
     spark = items.sparkSession
     alone = items.where(F.col("length") > capacity // 2).select("item", "length", F.col("item").alias("seq"))
     placed, opened = [alone], 0
     gaps = materialize(alone.where(F.col("length") < capacity).select("seq", (capacity - F.col("length")).alias("free")), "gaps")
-    for lo, hi in bands(capacity):
-        left = items.where((F.col("length") > lo) & (F.col("length") <= hi))
-        n = left.count()
-        widest = gaps.agg(F.max("free")).first()[0] or 0
-        while n:
-            matched = 0
-            if widest > lo:
-                got = materialize(match_round(left, _slots(gaps, lo, hi, n), n), "matches")
-                matched = got.count()
-            if matched:
-                placed.append(got)
-                used = got.groupBy("seq").agg(F.sum("length").alias("used"))
-                gaps = gaps.join(used, "seq", "left").select("seq", (F.col("free") - F.coalesce("used", F.lit(0))).alias("free")).where("free > 0")
-                n -= matched
-                gaps = materialize(gaps, "gaps")
-                if n:
-                    left = materialize(left.join(got.select("item"), "item", "left_anti"), "left")
-            if n and matched < n:  # the gaps have little room left for this band
-                more = -(-n // (capacity // hi))
-                new = spark.range(more).select((-1 - F.col("id") - opened).alias("seq"), F.lit(capacity).cast("long").alias("free"))
-                opened += more
-                gaps = gaps.unionByName(new)
-            widest = capacity
+    in_band = [(F.col("length") > lo) & (F.col("length") <= hi) for lo, hi in bands(capacity)]
+    sizes = items.agg(*[F.count_if(b) for b in in_band]).first()
+    for (lo, hi), band, n in zip(bands(capacity), in_band, sizes):
+        if not n:
+            continue
+        each = capacity // hi  # documents of this band that an empty sequence takes for sure
+        more = -(-n // each)
+        empty = spark.range(more * each).select((-1 - opened - F.floor(F.col("id") / each)).alias("seq"), (F.col("id") + 1).alias("height"))
+        got = match_round(items.where(band).select("item", "length"), _slots(gaps, lo, hi, n), n, empty, more * each)
+        got = materialize(got, "matches")
+        placed.append(got)
+        used = got.groupBy("seq").agg(F.sum("length").alias("used"))
+        old = gaps.join(used, "seq", "left").select("seq", (F.col("free") - F.coalesce("used", F.lit(0))).alias("free"))
+        new = used.where((F.col("seq") < -opened) & (F.col("seq") < 0)).select("seq", (capacity - F.col("used")).alias("free"))
+        opened += more
+        if hi > 1:
+            gaps = materialize(old.unionByName(new).where("free > 0"), "gaps")
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None, *views: str):
 # ── Leverage and the reading table ───────────────────────────────────────────
 LEV = "lev AS (SELECT d.key, round(sum(i.weight * d.depth), 1) AS lev FROM depths d JOIN issues i ON d.issue_id = i.issue_id WHERE i.core GROUP BY d.key)"
 ROWS = "lrows AS (SELECT w.*, l.lev, r.score FROM works w JOIN lev l ON w.key = l.key LEFT JOIN relevance r ON w.key = r.key)"
-CUTS = "cuts AS (SELECT count(*) AS n_scored, CASE WHEN count(*) >= 12 THEN round(quantile_cont(lev, 0.75), 1) ELSE 9.0 END AS visible_min, CASE WHEN count(*) >= 12 THEN round(quantile_cont(lev, 0.95), 1) ELSE 15.0 END AS star_min FROM {rows} WHERE NOT is_review AND text_source <> 'title')"
+CUTS = "cuts AS (SELECT count(*) AS n_scored, CASE WHEN count(*) >= 12 THEN round(quantile_cont(lev, 0.75), 1) ELSE 9e0 END AS visible_min, CASE WHEN count(*) >= 12 THEN round(quantile_cont(lev, 0.95), 1) ELSE 15e0 END AS star_min FROM {rows} WHERE NOT is_review AND text_source <> 'title')"
 STEM = """CASE WHEN key NOT LIKE 'doi:%' THEN NULL
  WHEN regexp_matches(lower(key), '\\.001\\.0001$') THEN regexp_extract(lower(substr(key, 5)), '^(.*?)\\.001\\.0001$', 1)
  WHEN regexp_matches(lower(key), '\\.00[13]\\.\\d{4}$') THEN regexp_extract(lower(substr(key, 5)), '^(.*?)\\.00[13]\\.\\d{4}$', 1)
@@ -46,7 +46,7 @@ PID = """CASE WHEN trim(coalesce(doi, '')) NOT IN ('', 'none') THEN concat('doi:
 CITED = f"""ids AS (SELECT key, {PID} AS pid FROM works),
 idlev AS (SELECT pid, max(lev) AS lev FROM ids JOIN lev USING (key) GROUP BY pid),
 idpairs AS (SELECT DISTINCT a.pid AS f, b.pid AS t FROM edges e JOIN ids a ON e.src = a.key JOIN ids b ON e.dst = b.key WHERE a.pid <> b.pid),
-cited AS (SELECT t AS pid, count(*) AS in_corpus, round(sum(CASE WHEN coalesce(l.lev, 0) >= 15 THEN 3.0 WHEN coalesce(l.lev, 0) >= 9 THEN 2.0 ELSE 1.0 END), 1) AS in_corpus_weighted
+cited AS (SELECT t AS pid, count(*) AS in_corpus, round(sum(CASE WHEN coalesce(l.lev, 0) >= 15 THEN 3e0 WHEN coalesce(l.lev, 0) >= 9 THEN 2e0 ELSE 1e0 END), 1) AS in_corpus_weighted
  FROM idpairs p LEFT JOIN idlev l ON p.f = l.pid GROUP BY t)"""
 CHAPTERISH = "(coalesce(work_type, '') IN ('book', 'book-chapter', 'chapter', 'other') OR regexp_matches(lower(coalesce(d, '')), '9780|9781|acprof:oso|oso/97|oxfordhb|med/97|wbiee|cbo97'))"
 GLOBAL = f"""g0 AS (SELECT w.key, w.year, w.work_type, CASE WHEN w.key LIKE 'doi:%' THEN substr(w.key, 5) ELSE w.doi END AS d, c.openalex AS oa, c.crossref AS cr, c.scopus AS sc,
@@ -116,7 +116,7 @@ tb AS (SELECT d.key, d.ord, d.title, d.author1 AS author, d.year, d.is_review, c
  NOT d.is_review AND NOT (d.text_source = 'title' AND NOT d.is_review) AS ranked, cl.cluster_top
  FROM deduped d LEFT JOIN ids i ON d.key = i.key LEFT JOIN cited c ON i.pid = c.pid LEFT JOIN global g ON d.key = g.key LEFT JOIN cl ON d.key = cl.key),
 lit AS (SELECT key, ord, title, author, year, is_review, stem, parent_key, no_abstract, boosted, CASE WHEN NOT no_abstract THEN l0 END AS lev,
- CASE WHEN NOT no_abstract THEN round(l0 + CASE WHEN boosted THEN 1.5 ELSE 0 END, 1) END AS composite, ranked AND l0 >= visible_min AS visible,
+ CASE WHEN NOT no_abstract THEN round(l0 + CASE WHEN boosted THEN 1.5e0 ELSE 0 END, 1) END AS composite, ranked AND l0 >= visible_min AS visible,
  ranked AND l0 >= star_min AND coalesce(in_corpus_weighted, 0) >= 5 AND (stem IS NULL OR cluster_top) AS star, cites_per_year, in_corpus_weighted FROM tb CROSS JOIN cuts)"""
 TABLE_VIEWS = ("works", "relevance", "depths", "issues", "edges", "counts")
 
@@ -153,7 +153,7 @@ def _(v):
     return citedness.leverage_by_identity(citedness.identities(v("works")), leverage.leverage(v("depths"), v("issues")))
 
 
-NODE_CITED = "nc AS (SELECT e.dst AS key, count(*) AS raw, sum(CASE WHEN coalesce(l.lev, 0) >= 15 THEN 3.0 WHEN coalesce(l.lev, 0) >= 9 THEN 2.0 ELSE 1.0 END) AS weighted FROM edges e LEFT JOIN lev l ON e.src = l.key GROUP BY e.dst)"
+NODE_CITED = "nc AS (SELECT e.dst AS key, count(*) AS raw, sum(CASE WHEN coalesce(l.lev, 0) >= 15 THEN 3e0 WHEN coalesce(l.lev, 0) >= 9 THEN 2e0 ELSE 1e0 END) AS weighted FROM edges e LEFT JOIN lev l ON e.src = l.key GROUP BY e.dst)"
 
 
 @query("node_citedness", f"WITH {LEV}, {NODE_CITED} SELECT * FROM nc", "edges", "depths", "issues")
@@ -492,7 +492,7 @@ def _(v):
 
 
 @query("hop_forecast", """SELECT hop, round(new / seeds, 4) AS fanout, round(passed / new, 4) AS pass_rate, passed / new > 0.3 AS warn, round(passed * (new / seeds), 2) AS projected_new, round(passed * (new / seeds) * (passed / new), 2) AS projected_paid,
-round(passed * (new / seeds) * (passed / new) / 1000 * 2.0, 4) AS cost FROM (SELECT hop, count(*) FILTER (is_seed) * 1.0 AS seeds, count(*) * 1.0 AS new, count(*) FILTER (citations > 60) * 1.0 AS passed FROM works GROUP BY hop) WHERE seeds > 0 AND new > 0""", "works")
+round(passed * (new / seeds) * (passed / new) / 1000 * 2e0, 4) AS cost FROM (SELECT hop, count(*) FILTER (is_seed) * 1e0 AS seeds, count(*) * 1e0 AS new, count(*) FILTER (citations > 60) * 1e0 AS passed FROM works GROUP BY hop) WHERE seeds > 0 AND new > 0""", "works")
 def _(v):
     return expand.forecast(v("works").groupBy("hop").agg(F.count_if("is_seed").alias("seeds"), F.count("*").alias("new"), F.count_if(F.col("citations") > 60).alias("passed")), 2.0)
 

@@ -60,8 +60,8 @@ FROM {works} WHERE ord % 17 <> 3
     "issues": (
         (),
         """
-SELECT * FROM (VALUES ('A1', 'the', 1.5, TRUE, 0), ('A2', 'tion', 1.5, TRUE, 1), ('A3', 'on', 1.0, TRUE, 2),
-  ('A4', 'er', 1.0, TRUE, 3), ('A5', 'an', 0.5, TRUE, 4), ('B1', 'que', 1.0, FALSE, 5)) AS t(issue_id, stem, weight, core, ord)
+SELECT * FROM (VALUES ('A1', 'the', 1.5e0, TRUE, 0), ('A2', 'tion', 1.5e0, TRUE, 1), ('A3', 'on', 1e0, TRUE, 2),
+  ('A4', 'er', 1e0, TRUE, 3), ('A5', 'an', 0.5e0, TRUE, 4), ('B1', 'que', 1e0, FALSE, 5)) AS t(issue_id, stem, weight, core, ord)
 """,
     ),
     "depths": (

@@ -80,14 +80,14 @@ WITH docs AS (
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (
-  SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight,
-         2.0 * source_size AS cap
+  SELECT *, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight,
+         2e0 * source_size AS cap
   FROM sources),
 levels AS (
   SELECT *, cap / weight AS lvl,
-         (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0.0))
-           / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0)) AS common,
-         coalesce(sum(cap) OVER w, 0.0) AS cut_before
+         (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0e0))
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0e0)) AS common,
+         coalesce(sum(cap) OVER w, 0e0) AS cut_before
   FROM weighed
   WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 found AS (SELECT common AS water FROM levels WHERE common <= lvl ORDER BY lvl, cut_before LIMIT 1),

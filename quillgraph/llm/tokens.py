@@ -1,51 +1,105 @@
-"""Token ids of texts with a `tokenizers` vocabulary, by a bounded cache of white-space-delimited chunks.
+"""Token ids of texts with a `tokenizers` vocabulary, by bounded caches of chunks and words.
 
 The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are
-those of its chunks in order. Most chunks of a corpus repeat; only new ones are tokenized.
-Texts with the separators 0x1C to 0x1F, which Python splits at and the vocabulary does not,
-go through the tokenizer whole.
+those of its white-space-delimited chunks in order. Most chunks of a corpus repeat. A new
+chunk of plain Latin characters is lower-cased and split like the pre-tokenizer does, and
+its words, which repeat more often than chunks, go to the vocabulary's model alone; any other
+chunk goes through the tokenizer whole. So do texts with the separators 0x1C to 0x1F, which
+Python splits at and the vocabulary does not. A vocabulary of another make than
+`LOWER_CASE_WORDS` is used through its tokenizer only.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 
 import numpy as np
 
-#: Chunks that a worker keeps; the older half goes when there are more.
-CACHE = 400_000
-#: Documents that are looked up together.
+#: Chunks and words that a worker keeps; the older half goes when there are more.
+CACHE = 500_000
+#: Documents between looks at the caches' sizes.
 RUN = 256
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Chunks whose lower case and Unicode form need no tables: ASCII and Latin letters with marks.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# The pre-tokenizer's pattern of that vocabulary, and the same for plain chunks in lower case.
+LOWER_CASE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as the character of its code if that shows, else as the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = itertools.count(256)
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _chunks(path: str) -> _Chunks:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    with open(path) as f:
+        plan = json.load(f)
+    normal = [n.get("type") for n in (plan.get("normalizer") or {}).get("normalizers", [])]
+    split = [p.get("pattern", {}).get("Regex") for p in (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    special = any("<" not in t["content"] for t in plan.get("added_tokens", []))
+    known = normal == ["NFC", "Replace", "Lowercase"] and split == [LOWER_CASE_WORDS, None] and not special
+    tokenizer = Tokenizer.from_file(path)
+    return _Chunks(tokenizer, tokenizer.model if known else None)
+
+
+def _ids(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+
+def _bounded(cache: dict) -> None:
+    if len(cache) > CACHE:
+        for key in list(itertools.islice(cache, len(cache) - CACHE // 2)):
+            del cache[key]
+
+
+class _Words(dict):
+    """Ids of words in lower case; a new one goes to the model."""
+
+    def __init__(self, model):
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of chunks; a new one is made of its words' where it is plain. The vocabulary's special tokens hold '<'."""
 
+    def __init__(self, tokenizer, model):
+        self.tokenizer, self.words = tokenizer, _Words(model) if model is not None else None
 
-def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __missing__(self, chunk: str) -> bytes:
+        if self.words is not None and "<" not in chunk and PLAIN.fullmatch(chunk):
+            ids = b"".join(map(self.words.__getitem__, PLAIN_WORDS.findall(chunk.lower())))
+        else:
+            ids = _ids(self.tokenizer, chunk)
+        self[chunk] = ids
+        return ids
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    tokenizer, cache = _tokenizer(path)
+    chunks = _chunks(path)
     out: list[bytes] = []
-    for i in range(0, len(texts), RUN):
-        part = texts[i : i + RUN]
-        chunks = [None if ODD_SEPARATORS.search(t) else t.split() for t in part]
-        new = list(set().union(*(c for c in chunks if c)) - cache.keys())
-        cache.update(zip(new, _ids(tokenizer, new)))
-        out += [_ids(tokenizer, [t])[0] if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(part, chunks)]
-        if len(cache) > CACHE:
-            for key in list(itertools.islice(cache, len(cache) - CACHE // 2)):
-                del cache[key]
+    for i, text in enumerate(texts):
+        if ODD_SEPARATORS.search(text):
+            out.append(_ids(chunks.tokenizer, text))
+        else:
+            out.append(b"".join(map(chunks.__getitem__, text.split())))
+        if i % RUN == 0:
+            _bounded(chunks), _bounded(chunks.words or {})
     return out

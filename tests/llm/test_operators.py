@@ -476,3 +476,18 @@ def test_registered_queries_have_names():
 
     assert [n.split("_")[0] for n in entries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(entries.ORACLE_SQL) <= set(entries.QUERIES)
+
+
+def test_token_ids_equal_the_tokenizers(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    pool = "aB'sS'tlLdDrReEvVmM0129.,!?-_<>|&#\"  \n\tÀÉßäöüñ×÷ªºµΣσςİıﬁ½٣中文é́ \x1c\x85\x00😀"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "it's WE'LL I'D don't 'S'T"] + [t for _, t in texts_of(docs)]
+    assert tokens.encode(texts, path) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]

@@ -40,16 +40,23 @@ def _split(table: np.ndarray, keep: bool):
     return run
 
 
+def _joined(rows: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """Join on keys that may be null."""
+    right = other.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(right, same, how)
+
+
 def without(rows: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
     """rows (all columns) whose keys are not in dropped: only rows that the filter of dropped keys passes are shuffled."""
     table = build(dropped, *keys)
     placed = rows.withColumn("_place", place(*keys))
     clean = placed.mapInArrow(_split(table, False), rows.schema)
     maybe = placed.mapInArrow(_split(table, True), rows.schema)
-    return clean.unionByName(maybe.join(dropped.select(*keys).distinct(), list(keys), "left_anti"))
+    return clean.unionByName(_joined(maybe, dropped, keys, "left_anti"))
 
 
 def within(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """rows (all columns) whose keys are in wanted: only rows that the filter passes are shuffled."""
     maybe = rows.withColumn("_place", place(*keys)).mapInArrow(_split(build(wanted, *keys), True), rows.schema)
-    return maybe.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    return _joined(maybe, wanted, keys, "left_semi")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, partitions, text_or_empty
 
 #: The longest prefix in bits: the directory has 2**MAX_DEPTH slots at most.
-MAX_DEPTH = 14
+MAX_DEPTH = 16
 
 
 def build_directory(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -100,7 +100,7 @@ def _chain(batches):
         yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(out, pa.int64())], names=["entry", "class_entry"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest id stays."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
@@ -114,10 +114,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     index = materialize(index.withColumn("entry", F.monotonically_increasing_id()), "hash-index")
     owners = max(1, min(n_buckets, partitions(spark)))
-    owner = F.floor(F.col("bucket") * owners / n_buckets)
+    owner = F.floor(F.col("bucket") * owners / n_buckets).cast("int")
     chained = (
         index.select("entry", "hash", "text", owner.alias("owner"), "bucket")
-        .repartition(owners, "owner", "bucket")
+        .repartitionById(owners, "owner")
         .sortWithinPartitions("bucket", "hash", "entry")
         .select("entry", "hash", "text")
         .mapInArrow(_chain, "entry long, class_entry long")

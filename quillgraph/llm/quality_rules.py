@@ -4,7 +4,8 @@ Base statistics are column expressions over whole texts. Per language and source
 minimum-covariance-determinant estimate is found by concentration steps: from medians and
 median deviations on, the `h` share of rows nearest by Mahalanobis distance gives the next
 mean and covariance. Distances are kept as counts by distance class, so a step moves a few
-hundred numbers per group whatever the group's size. A row far outside is rejected.
+hundred numbers per group whatever the group's size. A row beyond
+chi-square's 0.999 quantile is rejected.
 
 Defined results: a null text has no words and fails the base rules; null language or source
 is a value of its own; groups of fewer than `least` usable rows reject nothing; rows that
@@ -22,6 +23,8 @@ from quillgraph.llm.common import SPACE, materialize
 FLOOR = (0.25, 0.25, 0.05, 0.10, 0.10)
 #: Median of chi-square with five degrees of freedom.
 CHI2_MEDIAN = 4.351
+#: Its 0.999 quantile, beyond which a row is an outlier.
+CHI2_TAIL = 20.515
 CLASSES_PER_E = 16
 
 
@@ -129,7 +132,9 @@ def _quantile_class(rows: DataFrame, share: float) -> DataFrame:
 
 
 def mcd_outliers(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
-    """rows (grp, x0..x4 and others) with d2, scaled so that the group's median is chi-square's, and n_group."""
+    """rows (grp, x0..x4 and others) with d2 and n_group. d2 is scaled so that the group's median is at most chi-square's, and never up:
+    where most statistics are constant the floor of the spread makes distances small, and stretching them
+    would call small deviations outliers."""
     d = range(len(FLOOR))
     mids = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d])
     mads = rows.join(mids, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
@@ -142,10 +147,10 @@ def mcd_outliers(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
         stats = materialize(_moments(near), "mcd-step")
     far = _distances(rows, stats)
     middle = _quantile_class(far, 0.5).withColumn("scale", F.exp((F.col("cut") + 0.5) / CLASSES_PER_E) / CHI2_MEDIAN)
-    return far.join(middle.select("grp", "n_group", "scale"), "grp").withColumn("d2", F.col("d2") / F.greatest(F.col("scale"), F.lit(1e-3)))
+    return far.join(middle.select("grp", "n_group", "scale"), "grp").withColumn("d2", F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0)))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 200.0, h: float = 0.75, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CHI2_TAIL, h: float = 0.75, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 (null where not judged)."""
     group = F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
     stats = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), text_statistics(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))

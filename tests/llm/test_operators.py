@@ -300,6 +300,18 @@ def test_outliers_are_rejected(spark):
     assert not any(got[i] for i, *_ in bad) and sum(got[i] for i, *_ in good) >= 196
 
 
+def test_moderate_outliers_are_rejected(spark):
+    """Symbols in every fourth word lie far under a squared distance of 200."""
+    from quillgraph.llm.quality_rules import quality_rules
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    text = lambda mark: " ".join(rng.choice(words) + (mark if k % 4 == 0 else "") for k in range(rng.randint(90, 160)))
+    rows = [(i, text(""), "en", "s") for i in range(200)] + [(1000 + i, text("#$"), "en", "s") for i in range(10)]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i]["kept"] for i in range(10)) and sum(got[i]["kept"] for i in range(200)) >= 196
+
+
 # ── 7 ────────────────────────────────────────────────────────────────────────
 def test_secrets(spark, docs, awkward, empty):
     from quillgraph.llm.secret_scan import scan_secrets

@@ -4,12 +4,13 @@ Base statistics are column expressions over whole texts. Per language and source
 minimum-covariance-determinant estimate is found by concentration steps: from medians and
 median deviations on, the `h` share of rows nearest by Mahalanobis distance gives the next
 mean and covariance. Distances are kept as counts by distance class, so a step moves a few
-hundred numbers per group whatever the group's size. A row beyond
-chi-square's 0.999 quantile is rejected.
+hundred numbers per group whatever the group's size. A row beyond chi-square's 0.999 quantile is
+rejected. Rows of a group too small for an estimate of its own are judged by their
+language's, or by that of all rows.
 
 Defined results: a null text has no words and fails the base rules; null language or source
-is a value of its own; groups of fewer than `least` usable rows reject nothing; rows that
-repeat are judged each; an empty table gives an empty result; other columns are ignored.
+is a value of its own; a corpus of fewer than `least` usable rows is judged by the
+estimate of all its rows; rows that repeat are judged each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ FLOOR = (0.25, 0.25, 0.05, 0.10, 0.10)
 CHI2_MEDIAN = 4.351
 #: Its 0.999 quantile, beyond which a row is an outlier.
 CHI2_TAIL = 20.515
+#: Name of the group of all rows.
+ALL = "all"
 CLASSES_PER_E = 16
 
 
@@ -112,11 +115,11 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _with_factor(rows.groupBy("grp").agg(*means, *covs))
 
 
-def _distances(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, stats: DataFrame, *more: str) -> DataFrame:
     d = range(len(FLOOR))
     keep = [f"m{i}" for i in d] + [f"l{i}{j}" for i in d for j in range(i + 1)]
     d2 = _cholesky_distance([F.col(f"x{i}") for i in d], [F.col(f"m{i}") for i in d], None)
-    return rows.join(stats.select("grp", *keep), "grp").withColumn("d2", d2).drop(*keep)
+    return rows.join(stats.select("grp", *keep, *more), "grp").withColumn("d2", d2).drop(*keep)
 
 
 def _class_of(d2: Column) -> Column:
@@ -128,36 +131,53 @@ def _quantile_class(rows: DataFrame, share: float) -> DataFrame:
     counts = rows.groupBy("grp", _class_of(F.col("d2")).alias("class")).count()
     w = Window.partitionBy("grp")
     counts = counts.withColumn("upto", F.sum("count").over(w.orderBy("class"))).withColumn("all", F.sum("count").over(w))
-    return counts.where(F.col("upto") >= F.col("all") * share).groupBy("grp").agg(F.min("class").alias("cut"), F.max("all").alias("n_group"))
+    return counts.where(F.col("upto") >= F.col("all") * share).groupBy("grp").agg(F.min("class").alias("cut"))
 
 
-def mcd_outliers(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
-    """rows (grp, x0..x4 and others) with d2 and n_group. d2 is scaled so that the group's median is at most chi-square's, and never up:
-    where most statistics are constant the floor of the spread makes distances small, and stretching them
-    would call small deviations outliers."""
+def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
+    """Of rows (grp, x0..x4), per group: mean, Cholesky factor and scale, a consistency factor that brings the median distance down to chi-square's.
+
+    The factor is never below 1: where most statistics are constant the floor of the spread
+    makes distances small, and stretching them would call small deviations outliers.
+    Tables of one row per group are written, so that Spark knows when they are small enough to send.
+    """
     d = range(len(FLOOR))
-    mids = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d])
+    mids = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d]), "mcd-middle")
     mads = rows.join(mids, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in d for j in d if i < j]
     stats = _with_factor(mads.select("grp", *[f"m{i}" for i in d], *[((F.lit(1.4826) * F.col(f"s{i}")) ** 2).alias(f"c{i}{i}") for i in d], *zero))
+    stats = materialize(stats, "mcd-start")
     for _ in range(steps):
         far = _distances(rows, stats)
-        cut = _quantile_class(far, h)
-        near = far.join(cut.select("grp", "cut"), "grp").where(_class_of(F.col("d2")) <= F.col("cut"))
+        cut = materialize(_quantile_class(far, h), "mcd-cut")
+        near = far.join(cut, "grp").where(_class_of(F.col("d2")) <= F.col("cut"))
         stats = materialize(_moments(near), "mcd-step")
-    far = _distances(rows, stats)
-    middle = _quantile_class(far, 0.5).withColumn("scale", F.exp((F.col("cut") + 0.5) / CLASSES_PER_E) / CHI2_MEDIAN)
-    return far.join(middle.select("grp", "n_group", "scale"), "grp").withColumn("d2", F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0)))
+    middle = _quantile_class(_distances(rows, stats), 0.5).select("grp", F.greatest(F.exp((F.col("cut") + 0.5) / CLASSES_PER_E) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    return materialize(stats.join(middle, "grp"), "mcd-estimates")
+
+
+def _keys_in_use(rows: DataFrame, least: int) -> DataFrame:
+    """(own, grp): for every language and source the group it is judged by: its own, its language or all rows, the first that has `least` rows, else all."""
+    sizes = rows.groupBy("own", "wide").count()
+    wide = sizes.groupBy("wide").agg(F.sum("count").alias("n_wide"))
+    grp = F.when(F.col("count") >= least, F.col("own")).when(F.col("n_wide") >= least, F.col("wide")).otherwise(ALL)
+    return materialize(sizes.join(wide, "wide").select("own", grp.alias("grp")), "rule-groups")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CHI2_TAIL, h: float = 0.75, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 (null where not judged)."""
-    group = F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
-    stats = docs.select(F.col(id_col).alias("doc_id"), group.alias("grp"), text_statistics(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
-    rows = materialize(stats.select("doc_id", "grp", "s.*"), "rule-statistics")
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 (null where the base rules fail)."""
+    lang, source = F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")
+    own, wide = F.concat(F.lit("source "), F.to_json(F.struct(lang, source))), F.concat(F.lit("language "), F.to_json(F.struct(lang)))
+    stats = docs.select(F.col(id_col).alias("doc_id"), own.alias("own"), wide.alias("wide"), text_statistics(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
+    rows = materialize(stats.select("doc_id", "own", "wide", "s.*"), "rule-statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     usable = rows.where(~F.col("base_failed")).withColumns({k: F.expr(v) for k, v in VECTOR.items()})
+    keys = _keys_in_use(usable, least)
+    # A pooled group holds all rows of its language, or all, not those of small groups alone.
+    pooled = usable.select(F.explode(F.array(F.col("own"), F.col("wide"), F.lit(ALL))).alias("grp"), *VECTOR)
+    estimates = mcd_estimates(materialize(pooled.join(keys.select("grp").distinct(), "grp", "left_semi"), "rule-vectors"), h)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = mcd_outliers(usable, h).select(*base, (~((F.col("d2") > cutoff) & (F.col("n_group") >= least))).alias("kept"), F.col("d2"))
+    far = _distances(usable.join(keys, "own"), estimates, "scale").withColumn("d2", F.col("d2") / F.col("scale"))
+    judged = far.select(*base, (F.col("d2") <= cutoff).alias("kept"), F.col("d2"))
     return judged.unionByName(rows.where("base_failed").select(*base, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2")))

@@ -312,6 +312,19 @@ def test_moderate_outliers_are_rejected(spark):
     assert not any(got[1000 + i]["kept"] for i in range(10)) and sum(got[i]["kept"] for i in range(200)) >= 196
 
 
+def test_rows_of_small_groups_are_judged(spark):
+    """Ten sources of 20 rows, a rare language and a null one: each is judged by its language or by all rows."""
+    from quillgraph.llm.quality_rules import quality_rules
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    text = lambda mark: " ".join(rng.choice(words) + mark for _ in range(rng.randint(90, 160)))
+    good = [(i, text(""), "en", f"s{i % 10}") for i in range(200)] + [(200 + i, text(""), ("la", None)[i % 2], None) for i in range(10)]
+    bad = [(1000 + i, text("###$$$"), ("en", "la", None)[i % 3], ("s1", None)[i % 2]) for i in range(9)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i, *_ in bad) and sum(got[i] for i, *_ in good) >= 205
+
+
 # ── 7 ────────────────────────────────────────────────────────────────────────
 def test_secrets(spark, docs, awkward, empty):
     from quillgraph.llm.secret_scan import scan_secrets

@@ -2,7 +2,8 @@
 
 A vocabulary learnt on ordinary text spends few characters per token on random strings. A
 run of key characters is flagged when its characters per token fall below a limit, unless
-it is a known digest, an identifier or of one case without digits. Flags are added to the
+it is a known digest or an identifier whose words are cheap in tokens. Letters of one case
+must fall further below. Flags are added to the
 spans of the base patterns, never put in their place.
 
 Bytes of a whole batch are searched at once for what a pattern cannot do without (a
@@ -38,8 +39,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hex digits of md5, sha1, sha224, sha256, sha384 and sha512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-#: Words joined by one kind of mark, or in camel case with at most a number at the end: a name, not a key.
-NAME = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/-](?:[A-Za-z]+|[0-9]+))*=?|(?:[A-Z]?[a-z]+)+[0-9]*")
+#: Words joined by marks, or in camel case with at most a number at the end: a name, not a key, if its words are cheap in tokens.
+NAME = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/-](?:[A-Za-z]+|[0-9]+))*=?|[a-z]*(?:[A-Z][a-z]+)*[0-9]*")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Letters of one case but for capitals at the start of words: no camel case.
+ONE_CASE = re.compile(r"[^A-Za-z]*(?:[A-Z]?[a-z]+[^A-Za-z]+)*(?:[A-Z]?[a-z]+)?|[^a-z]+")
+#: Long and foreign words cost more tokens, so letters of one case must lie under this share of the limit.
+ONE_CASE_SHARE = 0.77
+TIME = re.compile(r"[0-9]{8}T[0-9]{6}Z?")
 
 
 @functools.lru_cache(maxsize=2)
@@ -78,14 +85,24 @@ def _rows_with(blob: bytes, offsets: np.ndarray, words) -> set[int]:
     return rows
 
 
+def _letters_per_token(run: str, encoding) -> float:
+    """Of the words of a run alone, in camel case or between marks."""
+    words = PART.findall(run)
+    return sum(map(len, words)) / max(1, sum(len(encoding.encode_ordinary(w)) for w in words))
+
+
 def looks_random(run: str, encoding, limit: float) -> bool:
     """Whether a run of key characters takes more tokens than words would."""
     digits = sum(c.isdigit() for c in run)
-    cases = any(c.islower() for c in run) + any(c.isupper() for c in run) + (digits >= 2)
-    if cases < 2 or UUID.fullmatch(run) or NAME.fullmatch(run):
+    letters = any(c.isalpha() for c in run)
+    if not letters or UUID.fullmatch(run) or TIME.fullmatch(run):
         return False
     if len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return False
+    if digits < 2 and ONE_CASE.fullmatch(run):
+        return _letters_per_token(run, encoding) < limit * ONE_CASE_SHARE
+    if NAME.fullmatch(run) and _letters_per_token(run, encoding) >= limit:
+        return False
     return len(run) / len(encoding.encode_ordinary(run)) < limit
 
 
@@ -134,7 +151,7 @@ def _scanner(path: str, least: int, limit: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str | None = None, least: int = 20, limit: float = 2.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str | None = None, least: int = 16, limit: float = 2.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then kind)."""
     if vocabulary is None:
         import public_tokenizers

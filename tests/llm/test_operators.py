@@ -306,7 +306,7 @@ def test_moderate_outliers_are_rejected(spark):
 
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(500)]
-    text = lambda mark: " ".join(rng.choice(words) + (mark if k % 4 == 0 else "") for k in range(rng.randint(90, 160)))
+    text = lambda mark: " ".join(rng.choice(words) + (mark if k % 4 == 0 else "") for k in range(rng.randint(60, 500)))
     rows = [(i, text(""), "en", "s") for i in range(200)] + [(1000 + i, text("#$"), "en", "s") for i in range(10)]
     got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(got[1000 + i]["kept"] for i in range(10)) and sum(got[i]["kept"] for i in range(200)) >= 196
@@ -348,6 +348,21 @@ def test_secrets(spark, docs, awkward, empty):
     assert scan_secrets(empty).count() == 0
 
 
+def test_short_and_one_case_keys(spark, docs):
+    from quillgraph.llm.secret_scan import scan_secrets
+
+    rng = random.Random(7)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"short": (lower + upper + digits, 16, 0.99), "mixed": (lower + upper, 20, 0.99), "upper": (upper, 24, 0.7), "lower": (lower, 20, 0.5)}
+    keys = [(k, "see " + "".join(rng.choice(letters) for _ in range(n)) + " here") for k, (letters, n, _) in kinds.items() for _ in range(300)]
+    names = ["kQzXvBnMwRtYpLsDfGhJ", "getHTTPResponseCode", "src/main/java/org/apache", "TOTAL_NUMBER_OF_ROWS", "numpy_dtype_uint8_arr", "Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "INTERNATIONALIZATION", "2024/01/15/0123456789", "20240115T101530Z", "=" * 30, "-+-" * 9]
+    rows = list(enumerate([t for _, t in keys] + names))
+    got = {r["doc_id"]: "random" in r["spans"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(k for i, (k, _) in enumerate(keys) if got[i])
+    assert all(found[k] >= share * 300 for k, (*_, share) in kinds.items()), found
+    assert [got[len(keys) + i] for i in range(len(names))] == [True] + [False] * (len(names) - 1)
+
+
 # ── 8 ────────────────────────────────────────────────────────────────────────
 def test_classifier(spark, docs, labels, awkward, empty):
     from quillgraph.llm.quality_classifier import classify_quality, keep_good

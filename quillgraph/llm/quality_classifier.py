@@ -6,7 +6,7 @@ of the whole text of every document are computed and scored in Arrow batches.
 
 Defined results: null and empty texts get the score of an empty text's statistics; labels
 that repeat for an id count once (the larger one), null labels not at all; without any
-label the score is 0.5; rows that repeat are scored each; other columns are ignored.
+label the score is 0.5; of rows that repeat a labelled id one text is learnt from; rows that repeat are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def document_features(texts: pa.Array) -> np.ndarray:
 def _featurize(batches):
     for batch in batches:
         x = document_features(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "doc_id", "h"])
 
 
 def _scorer(model: dict):
@@ -84,11 +84,13 @@ def _scorer(model: dict):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> dict:
-    """Fit on the max_train labelled rows with the lowest hashes of their ids."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
+    """Fit on the max_train labelled ids with the lowest hashes, each with one text: of rows that repeat an id, the text with the lowest hash."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # max_train rows at most
-    got = rows.select("text", "y").mapInArrow(_featurize, "x array<double>, y double").orderBy("y", "x").limit(2 * max_train).toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # max_train ids at most
+    found = rows.select("text", "y", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).mapInArrow(_featurize, "x array<double>, y double, doc_id long, h long")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("r.x", "r.y")
+    got = one.orderBy("y", "x").toPandas()  # a fixed order, nothing is cut
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
     return boosted_trees.fit(x, got["y"].to_numpy(float), **options)
 

@@ -380,6 +380,16 @@ def test_classifier(spark, docs, labels, awkward, empty):
     assert keep_good(awkward, labels.limit(0)).columns == awkward.columns
 
 
+def test_a_hot_id_does_not_crowd_out_the_other_label(spark, monkeypatch):
+    from quillgraph.llm import quality_classifier as Q
+
+    got = {}
+    monkeypatch.setattr(Q.boosted_trees, "fit", lambda x, y, **options: got.update(x=x, y=y))
+    rows = [(0, f"bad text {i}") for i in range(200)] + [(i, f"good text {i} " * i) for i in range(1, 40)]
+    Q.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i > 0)) for i in range(40)], "doc_id long, quality int"), max_train=40)
+    assert sorted(got["y"]) == [0.0] + [1.0] * 39 and len(got["x"]) == 40
+
+
 def test_trees_fit_an_interaction():
     from quillgraph.llm import boosted_trees
 

@@ -34,9 +34,17 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id."""
-    groups = jaccard_components(docs)
-    return id_filter.without(docs.select(*COLUMNS), materialize(groups.where("doc_id <> component_id").select("doc_id"), "dropped"), "doc_id")
+    """Of each group of near copies the row with the smallest id, then text hash. Rows are told apart by id and text: an id may repeat with other texts."""
+    keyed = docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    node = F.xxhash64("doc_id", "text_sha256")
+    groups = jaccard_components(docs.select(*COLUMNS).withColumn("doc_id", F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))))
+    linked = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct(), "linked")
+    linked = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    rows = materialize(keyed.select("doc_id", "text_sha256", node.alias("node")).join(linked, "node").select("component", "doc_id", "text_sha256"), "near-copies")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    dropped = rows.join(first, "component").where(order != F.col("first")).select("doc_id", "text_sha256")
+    return id_filter.without(keyed, materialize(dropped, "dropped"), "doc_id", "text_sha256").select(*COLUMNS)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -521,6 +521,17 @@ def test_pipeline_drops_repeated_rows(spark, awkward):
     assert {r["text"] or "" for r in kept} == {t for _, t in texts_of(awkward)}
 
 
+def test_jaccard_stage_keeps_other_texts_of_a_repeated_id(spark):
+    import corpus_pipeline as P
+
+    text = lambda seed, n=80: " ".join(f"w{random.Random(seed * 1000 + k).randint(0, 10**6)}" for k in range(n))
+    near = text(1) + " end"
+    rows = [(1, text(1)), (5, near), (5, text(2)), (7, text(3)), (None, text(3) + " end"), (9, text(4)), (9, text(4) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"][:12]) for r in P.dissimilar_documents(spark, docs, "").collect())
+    assert got == Counter([(1, text(1)[:12]), (5, text(2)[:12]), (7, text(3)[:12]), (9, text(4)[:12])])
+
+
 def test_registered_queries_have_names():
     from quillgraph.llm import entries
 

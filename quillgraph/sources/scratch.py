@@ -11,10 +11,12 @@ _own_base: dict[str, str] = {}
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
         _own_base[app] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")

@@ -40,3 +40,18 @@ def utf8_view(column) -> tuple[np.ndarray, np.ndarray]:
     o = np.frombuffer(offsets, dtype=kind, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[o[0] : o[-1]], o - o[0]
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task: Python workers are used again by later stages, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it keeps
+        pass

@@ -4,16 +4,19 @@ Tokens (5-word shingles) have one global order, from rare to frequent by counts
 documents in a table of fixed width. Of a document of s tokens the first
 s - ceil(t s) + m hold at least m of those that it shares with any document it links to, for
 every m; so two documents that link share min(m, m') tokens of their prefixes. Each
-document chooses its m: a longer prefix costs postings, more matches spare candidates.
-When two documents meet, both sizes are known and with them the tokens they must share; only
-tokens at the places that this leaves in both count as matches.
+document chooses its m: a longer prefix costs tokens read, more matches spare candidates.
+The first of the tokens that two linked documents share stands in the prefix for m = 1 of
+both; so the tokens of that prefix alone are posted, and a pair that meets there at places
+that both sizes allow is a seed. Seeds are then held against the lengthened prefixes, and
+those that share as many tokens as these ask for are verified on their whole sets.
 
 Hot groups. Equal sets are one node before anything else. Near copies are first tied to
 hub documents (the smallest id among those with a common min-wise token, an aggregation that
 combines before the shuffle), the ties verified, and components formed. From then on a pair
 inside one component needs no test, so postings that stay in one component make no pair,
-and a group of copies costs as many tests as it has members. All pairs across components
-that share enough prefix tokens are verified on their whole sets; none is capped or dropped.
+and a group of copies costs as many tests as it has members. Members of a family that are too
+far from its middle to link with most others have few of its tokens early in their order, so
+they are not seeds with each of them. Every seed is tested; none is capped or dropped.
 Postings of a very frequent token are split into blocks, and every pair of blocks is met once.
 
 Defined results: null and empty texts have an empty set and stay alone; rows that repeat an
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import id_filter
-from quillgraph.llm.common import materialize, partitions, utf8_view
+from quillgraph.llm.common import materialize, partitions, release_memory, utf8_view
 from quillgraph.llm.shingles import mix, shingle_sets
 from quillgraph.operators.components import connected_components
 
@@ -50,8 +53,10 @@ MOST_MATCHES, VERIFY = 8, 50.0
 BLOCK = 200_000
 #: Members of a hub that are verified in one task.
 MEMBERS = 500
-#: Pairs that are counted at a time.
-PAIRS = 4_000_000
+#: Pairs of postings that are looked at a time, and postings in a bucket.
+PAIRS, BUCKET = 2_000_000, 4_000_000
+#: Tables of counts that one task adds.
+FAN_IN = 64
 
 _SEEDS = np.random.default_rng(5).integers(0, 2**64, HUBS, dtype=U)
 
@@ -76,12 +81,13 @@ def _profile(size: int):
         parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(table, CHUNKS)]
         none = pa.nulls(CHUNKS)
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), pa.array([None] * CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
+        release_memory()
 
     return run
 
 
 def _add_counts(batches):
-    """Sum of the tables of each chunk; a task holds CHUNKS partial tables at most."""
+    """Sum of the tables of each chunk; a task reads FAN_IN tables of a chunk or a few more."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -109,17 +115,69 @@ def _posted_alone(bits: np.ndarray, posted):
 
 
 def _sets_of(bits: np.ndarray, size: int):
+    """Whole sets of the documents that the filter passes, sorted."""
+
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
             sets = [s.tobytes() for s in shingle_sets(*utf8_view(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
+        release_memory()
 
     return run
 
 
-def _verify(num: int, den: int):
-    """Rows (hub, salt, id or null for the hub itself, tokens) with hubs first: the ids that link to their hub."""
+def _prefixes_of(bits: np.ndarray, order: TokenOrder, size: int, num: int, den: int):
+    """Lengthened prefixes of the documents that the filter passes: size of the set, m, then tokens in global order."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
+            out = []
+            for s in shingle_sets(*utf8_view(batch.column(1)), size):
+                n = len(s)
+                if not n:
+                    out.append(b"")
+                    continue
+                s, frequency = order.sort(s)
+                overlap = -(-num * n // den)
+                m = choose_matches(frequency, n, overlap)
+                out.append(np.array([n, m], U).tobytes() + s[: n - overlap + m].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
+        release_memory()
+
+    return run
+
+
+def _link(num: int, den: int):
+    """Whether two sorted sets link."""
+
+    def test(t: np.ndarray, h: np.ndarray) -> bool:
+        small, large = (t, h) if len(t) < len(h) else (h, t)
+        if den * len(small) < num * len(large):
+            return False
+        common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        return den * common >= num * (len(t) + len(h) - common)
+
+    return test
+
+
+def _prefixes_match(num: int, den: int):
+    """Whether two prefixes share as many tokens as two documents that link must."""
+
+    def test(t: np.ndarray, h: np.ndarray) -> bool:
+        (n, m), (k, w) = t[:2].astype(np.int64), h[:2].astype(np.int64)
+        overlap, need = -(-num * (n + k) // (num + den)), min(m, w)
+        if overlap > min(n, k):
+            return False
+        # The pair shares `overlap` tokens, so `need` of them stand this early in both.
+        return len(np.intersect1d(t[2 : 2 + n - overlap + need], h[2 : 2 + k - overlap + need], assume_unique=True)) >= need
+
+    return test
+
+
+def _verify(test):
+    """Rows (a, salt, b or null for a itself, tokens) with a's own first: the pairs (a, b) that pass the test."""
 
     def run(batches):
         key, heads = None, []
@@ -132,20 +190,29 @@ def _verify(num: int, den: int):
                 t = np.frombuffer(tokens[i].as_buffer(), U)
                 if y is None:
                     heads.append(t.copy())
-                    continue
-                for h in heads:
-                    small, large = (t, h) if len(t) < len(h) else (h, t)
-                    if den * len(small) < num * len(large):
-                        continue
-                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    if den * common >= num * (len(t) + len(h) - common):
-                        found[0].append(x), found[1].append(y)
-                        break
+                elif any(test(t, h) for h in heads):
+                    found[0].append(x), found[1].append(y)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["a", "b"])
+        release_memory()
 
     return run
 
 
+class TokenOrder:
+    """The global order of tokens: by counts in a table of fixed width, equal ones by their hashes."""
+
+    def __init__(self, counted: np.ndarray):
+        self.table = np.round(STEPS * np.log2(np.maximum(counted, 1))).astype(np.uint16)
+        self.usual = float(counted.mean())  # what other tokens add to a cell
+        self.count_of = 2.0 ** (np.arange(32 * STEPS + 1) / STEPS)
+
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A sorted set in global order, and estimated counts of its tokens."""
+        seen = self.table[(s >> U(64 - WIDTH)).astype(np.int64)]
+        at = np.argsort(seen, kind="stable")
+        return s[at], np.maximum(self.count_of[seen[at]] - self.usual, 1.0)
+
+
 class JaccardJoin:
     """One self-join: documents (id, text), shingles of `size` words, links from num/den of the union on."""
 
@@ -156,31 +223,42 @@ class JaccardJoin:
     def profile(self) -> None:
         table = materialize(self.rows.mapInArrow(_profile(self.size), "id long, n long, digest string, hubs array<long>, chunk int, counts binary"), "profiles")
         self.docs = table.where("chunk IS NULL").select("id", "n", "digest", "hubs")
-        counts = table.where("chunk IS NOT NULL").select("chunk", "counts")
-        added = counts.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").orderBy("chunk").collect()  # fixed size
-        counted = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in added]) if added else np.zeros(1 << WIDTH, np.uint32)
-        self.usual = float(counted.mean())
-        self.table = np.round(STEPS * np.log2(np.maximum(counted, 1))).astype(np.uint16)
+        self.order = TokenOrder(self.token_counts(table.where("chunk IS NOT NULL").select("chunk", "counts")))
         usable = self.docs.where("n > 0 AND id IS NOT NULL")
         self.nodes = materialize(usable.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("hubs").alias("hubs")), "nodes")
+        posted = self.nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1)).first()[0] or 0
+        self.buckets = max(1, partitions(self.spark), -(-int(posted) // BUCKET))
+
+    def token_counts(self, counts: DataFrame) -> np.ndarray:
+        """Sum of all tasks' tables, FAN_IN at a time until one of each chunk is left."""
+        left = -(-counts.count() // CHUNKS)
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            dealt = counts.withColumn("at", F.pmod(F.xxhash64("chunk", F.monotonically_increasing_id()), F.lit(left)))
+            counts = materialize(dealt.repartition(CHUNKS * left, "chunk", "at").select("chunk", "counts").mapInArrow(_add_counts, "chunk int, counts binary"), "token-counts")
+        added = counts.repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").orderBy("chunk").collect()  # fixed size
+        return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in added]) if added else np.zeros(1 << WIDTH, np.uint32)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. Sets are made from texts of ids in the pairs; a hub's members are salted."""
-        pairs = materialize(pairs, "pairs")
+    def _passing(self, pairs: DataFrame, payload, test, name: str) -> DataFrame:
+        """The pairs (a, b) whose payloads, made from the texts of ids in the pairs, pass the test. Partners of an id are salted."""
         if not pairs.limit(1).count():
             return pairs
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         bits = id_filter.build(ids, "id")
         rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
-        sets = rows.mapInArrow(_sets_of(bits, self.size), "id long, tokens binary").where(F.length("tokens") > 0)
-        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-        salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        heads = many.select(F.col("a"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
+        made = rows.mapInArrow(payload(bits), "id long, tokens binary").where(F.length("tokens") > 0)
+        many = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), "salts")
+        salted = pairs.join(many.where("salts > 1"), "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int"))
+        heads = many.select(F.col("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         wanted = salted.select("a", "salt", "b", F.col("b").alias("id")).unionByName(heads.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")))
-        rows = wanted.join(sets, "id").select("a", "salt", "b", "tokens")
+        rows = wanted.join(made, "id").select("a", "salt", "b", "tokens")
         n = max(1, partitions(self.spark))
         ordered = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return materialize(ordered.mapInArrow(_verify(self.num, self.den), "a long, b long").distinct(), "links")
+        return materialize(ordered.mapInArrow(_verify(test), "a long, b long").distinct(), name)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets link."""
+        return self._passing(materialize(pairs, "pairs"), lambda bits: _sets_of(bits, self.size), _link(self.num, self.den), "links")
 
     def hub_pairs(self) -> DataFrame:
         """Each node with the smallest node that has the same min-wise token, for each of HUBS kinds of tokens."""
@@ -188,41 +266,49 @@ class JaccardJoin:
         hubs = tokens.groupBy("kind", "token").agg(F.min("node").alias("hub"), F.count("*").alias("many")).where("many > 1")
         return tokens.join(hubs, ["kind", "token"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
+    def shared_ids(self) -> DataFrame:
+        """Edges between the nodes of the texts of one id, where an id repeats with several texts."""
+        texts = self.docs.where("n > 0 AND id IS NOT NULL").select("id", "digest").distinct()
+        several = texts.groupBy("id").count().where("count > 1").select("id")
+        nodes = texts.join(several, "id").join(self.nodes.select("digest", "node"), "digest").select("id", "node")
+        low = nodes.groupBy("id").agg(F.min("node").alias("a"))
+        return nodes.join(low, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
     def postings(self, components: DataFrame) -> DataFrame:
-        """Prefix tokens of one text of each node, packed by bucket and batch."""
+        """Tokens of the shortest prefix of one text of each node, packed by bucket and batch."""
         named = self.nodes.select("digest", "node").join(components.select("node", "component"), "node", "left")
         named = named.select(F.col("node").alias("id"), "digest", F.coalesce("component", "node").alias("component"))
-        n = max(1, partitions(self.spark))
         # The text of a node is that of its smallest id; ids of other rows find no partner.
         keyed = self.docs.where("n > 0").select("id", "digest").distinct().join(named, ["id", "digest"], "left").select("id", "component")
         keyed = materialize(keyed.groupBy("id").agg(F.min("component").alias("component")), "node-components")
         bits = id_filter.build(keyed.where("component IS NULL OR component <> id"), "id")
         rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
-        posted = _postings(self.table, self.usual, n, self.size, self.num, self.den)
+        posted = _postings(self.order, self.buckets, self.size, self.num, self.den)
         alone = rows.mapInArrow(_posted_alone(bits, posted), POSTINGS)  # the filter holds no such id: a node that is its own component
         others = rows.mapInArrow(_passed(bits), "id long, text string").join(keyed.where("component IS NOT NULL"), "id").select("id", "text", "component")
         return alone.unionByName(others.mapInArrow(posted, POSTINGS))
 
     def candidate_pairs(self, components: DataFrame) -> DataFrame:
-        n = max(1, partitions(self.spark))
-        counted = self.postings(components).repartitionById(n, "bucket").mapInArrow(_pairs(self.num, self.den), "a long, b long, shared long, need int")
-        summed = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-        return summed.where("shared >= need").select("a", "b")
+        """Seeds whose lengthened prefixes share enough tokens."""
+        seeds = self.postings(components).repartitionById(self.buckets, "bucket").mapInArrow(_seeds(self.num, self.den), "a long, b long")
+        prefixes = lambda bits: _prefixes_of(bits, self.order, self.size, self.num, self.den)
+        return self._passing(materialize(seeds.distinct(), "seeds"), prefixes, _prefixes_match(self.num, self.den), "candidates")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         self.profile()
-        ties = self.verified(self.hub_pairs())
+        ties = materialize(self.verified(self.hub_pairs()).unionByName(self.shared_ids()), "ties")
         components = materialize(connected_components(ties), "hub-components")
         links = self.verified(self.candidate_pairs(components))
         joined = connected_components(ties.unionByName(links))
         named = self.nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-        # An id that repeats with several texts is one node.
-        per_id = self.docs.join(named, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
-        return per_id.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+        rows = materialize(self.docs.join(named, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component")), "row-components")
+        # All rows of an id are one node, those without a word too.
+        torn = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("id", "low")
+        return rows.join(torn, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "component")).alias("component_id"))
 
 
-POSTINGS = "bucket int, tokens binary, sides binary, places binary, owners binary, ids binary, components binary, sizes binary, needs binary"
+POSTINGS = "bucket int, tokens binary, sides binary, places binary, owners binary, ids binary, components binary, sizes binary"
 
 
 def choose_matches(frequency: np.ndarray, size: int, overlap: int) -> int:
@@ -232,33 +318,25 @@ def choose_matches(frequency: np.ndarray, size: int, overlap: int) -> int:
     return int(ms[np.argmin(scanned * (1 + VERIFY / ms.astype(float) ** 2))])
 
 
-def _postings(table: np.ndarray, usual: float, buckets: int, size: int, num: int, den: int):
-    count_of = 2.0 ** (np.arange(32 * STEPS + 1) / STEPS)
-
+def _postings(order: TokenOrder, buckets: int, size: int, num: int, den: int):
     def run(batches):
         for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             ids, components = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            tokens, owner, side, place, sizes, needs = [], [], [], [], [], []
+            tokens, owner, side, place, sizes = [], [], [], [], []
             for k, s in enumerate(shingle_sets(*utf8_view(batch.column(1)), size)):
                 n = len(s)
                 sizes.append(n)
                 if not n:
-                    needs.append(1)
                     continue
-                seen = table[(s >> U(64 - WIDTH)).astype(np.int64)]
-                order = np.argsort(seen, kind="stable")
-                frequency = np.maximum(count_of[seen[order]] - usual, 1.0)
-                overlap = -(-num * n // den)
-                m = choose_matches(frequency, n, overlap)
-                needs.append(m)
-                at = order[: n - overlap + m]
-                blocks = np.ceil(np.maximum(count_of[seen[at]] - usual, 1.0) / BLOCK).astype(np.int64)
+                s, frequency = order.sort(s)
+                last = n - -(-num * n // den) + 1
+                blocks = np.ceil(frequency[:last] / BLOCK).astype(np.int64)
                 one = blocks == 1
-                tokens.append(s[at[one]])
+                tokens.append(s[:last][one])
                 owner.append(np.full(int(one.sum()), k))
                 side.append(np.full(int(one.sum()), 2, np.uint8))
                 place.append(np.flatnonzero(one))
-                for t, many, p in zip(s[at[~one]], blocks[~one], np.flatnonzero(~one)):
+                for t, many, p in zip(s[:last][~one], blocks[~one], np.flatnonzero(~one)):
                     own = int(mix(np.array([ids[k]], np.int64).view(U) ^ t)[0] % U(many))
                     other = np.arange(many)
                     low, high = np.minimum(own, other), np.maximum(own, other)
@@ -270,24 +348,24 @@ def _postings(table: np.ndarray, usual: float, buckets: int, size: int, num: int
                 continue
             tokens, owner, side, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(side), np.concatenate(place)
             place = np.where(place < 1 << 16, place, 0).astype(np.uint16)  # a place too far to be kept passes every test
-            sizes, needs = np.array(sizes, np.int32), np.array(needs, np.int8)
+            sizes = np.array(sizes, np.int32)
             bucket = (tokens % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [[] for _ in range(9)]
-            for b in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[b] : cuts[b + 1]]
+            by = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[by], return_index=True)
+            out = [[] for _ in range(8)]
+            for b, at in zip(used.tolist(), np.split(by, first[1:])):
                 who, local = np.unique(owner[at], return_inverse=True)
-                short = (tokens[at] // U(buckets)).astype(np.uint32)  # a rare clash only adds a candidate
-                for column, v in zip(out, (int(b), short.tobytes(), side[at].tobytes(), place[at].tobytes(), local.astype(np.uint16).tobytes(), ids[who].tobytes(), components[who].tobytes(), sizes[who].tobytes(), needs[who].tobytes())):
+                short = (tokens[at] // U(buckets)).astype(np.uint32)  # a rare clash only adds a seed
+                for column, v in zip(out, (b, short.tobytes(), side[at].tobytes(), place[at].tobytes(), local.astype(np.uint16).tobytes(), ids[who].tobytes(), components[who].tobytes(), sizes[who].tobytes())):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["bucket", "tokens", "sides", "places", "owners", "ids", "components", "sizes", "needs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["bucket", "tokens", "sides", "places", "owners", "ids", "components", "sizes"])
+        release_memory()
 
     return run
 
 
-def _pairs(num: int, den: int):
-    """All pairs of a bucket's documents that share a token, lie in different components and can be alike in size, with counts."""
+def _seeds(num: int, den: int):
+    """All pairs of a bucket's documents that share a token early enough in both, lie in different components and can be alike in size."""
 
     def run(batches):
         parts: list[tuple] = []
@@ -295,22 +373,35 @@ def _pairs(num: int, den: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda i, t: np.frombuffer(batch.column(i)[row].as_buffer(), t)  # noqa: B023,E731
-                part = (get(1, np.uint32).copy(), get(2, np.uint8).copy(), get(3, np.uint16).copy(), get(4, np.uint16).astype(np.uint32) + np.uint32(docs), get(5, np.int64).copy(), get(6, np.int64).copy(), get(7, np.int32).copy(), get(8, np.int8).copy())
+                part = (get(1, np.uint32).copy(), get(2, np.uint8).copy(), get(3, np.uint16).copy(), get(4, np.uint16).astype(np.uint32) + np.uint32(docs), get(5, np.int64).copy(), get(6, np.int64).copy(), get(7, np.int32).copy())
                 docs += len(part[4])
                 parts.append(part)
         if not parts:
             return
-        tokens, side, place, owner, ids, component, sizes, needs = (np.concatenate([p[i] for p in parts]) for i in range(8))
+        tokens, side, place, owner, ids, component, sizes = (np.concatenate([p[i] for p in parts]) for i in range(7))
         parts.clear()
-        yield from _count_pairs(tokens, side, place, owner, ids, component, sizes, needs, num, den)
+        yield from _seed_pairs(tokens, side, place, owner, ids, component, sizes, num, den)
+        release_memory()
 
     return run
 
 
-def _count_pairs(tokens, side, place, owner, ids, component, sizes, needs, num, den):
+def _seed_pairs(tokens, side, place, owner, ids, component, sizes, num, den):
+    """Postings of one bucket: its seeds, once each."""
+    # Before a posting at place p stand p tokens that the pair does not share, so at most s - p are
+    # shared, and the partner is no larger than `most`. What no partner in its run can meet goes.
+    size = sizes.astype(np.int64)[owner]
+    most = (num + den) * (size - place.astype(np.int64)) // num - size
+    order = np.argsort(tokens, kind="stable")
+    run = np.cumsum(np.concatenate([[False], tokens[order][1:] != tokens[order][:-1]]))
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    least = np.minimum.reduceat(size[order], first)[run]
+    left = order[(np.diff(np.append(first, len(order)))[run] > 1) & (most[order] >= least)]
+    tokens, side, owner, size, most = tokens[left], side[left], owner[left], size[left], most[left]
+    if not len(tokens):
+        return
     order = np.lexsort((component[owner], tokens))
-    tokens, side, place, owner = tokens[order], side[order], place[order].astype(np.int64), owner[order]
-    sizes, needs = sizes.astype(np.int64), needs.astype(np.int64)
+    tokens, side, owner, size, most = tokens[order], side[order], owner[order].astype(np.int64), size[order], most[order]
     comp = component[owner]
     new_run = np.concatenate([[True], tokens[1:] != tokens[:-1]])
     run_end = np.append(np.flatnonzero(new_run)[1:], len(tokens))[np.cumsum(new_run) - 1]
@@ -319,28 +410,22 @@ def _count_pairs(tokens, side, place, owner, ids, component, sizes, needs, num,
     partners = run_end - comp_end
     some = np.flatnonzero(partners)
     total = np.concatenate([[0], np.cumsum(partners[some])])
-    codes, counts, first = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    n = len(ids)
+    codes, first, n = np.zeros(0, np.int64), 0, len(ids)
     while first < len(some):
         last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, "right")) - 1)
         who, many = some[first:last], partners[some[first:last]]
         left = np.repeat(who, many)
         right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(comp_end[who], many)
-        a, b = owner[left].astype(np.int64), owner[right].astype(np.int64)
-        alike = (den * np.minimum(sizes[a], sizes[b]) >= num * np.maximum(sizes[a], sizes[b])) & (ids[a] != ids[b])
+        alike = (size[left] <= most[right]) & (size[right] <= most[left])
+        alike &= den * np.minimum(size[left], size[right]) >= num * np.maximum(size[left], size[right])
         alike &= (side[left] == 2) | (side[left] != side[right])
-        # A pair of these sizes must share `overlap` tokens, so `need` of them stand this early in both.
-        overlap, need = -(-num * (sizes[a] + sizes[b]) // (num + den)), np.minimum(needs[a], needs[b])
-        alike &= (place[left] < sizes[a] - overlap + need) & (place[right] < sizes[b] - overlap + need)
-        a, b = a[alike], b[alike]
-        code, count = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
-        codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([counts, count]), len(codes)).astype(np.int64)
+        a, b = owner[left[alike]], owner[right[alike]]
+        codes = np.union1d(codes, np.minimum(a, b) * n + np.maximum(a, b))
         first = last
     for i in range(0, len(codes), 50_000):
-        a, b = codes[i : i + 50_000] // n, codes[i : i + 50_000] % n
-        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(counts[i : i + 50_000]), pa.array(np.minimum(needs[a], needs[b]).astype(np.int32))], names=["a", "b", "shared", "need"])
+        a, b = ids[codes[i : i + 50_000] // n], ids[codes[i : i + 50_000] % n]
+        apart = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[apart]), pa.array(np.maximum(a, b)[apart])], names=["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -492,6 +492,47 @@ def test_jaccard_join_around_the_limit(spark, monkeypatch):
     assert components(df) == brute_components(list(enumerate(out)))
 
 
+def test_an_id_ties_its_texts(spark):
+    """An id under several texts that repeat those of others is one node, with its empty texts too."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(4, b), (5, a), (8, a), (8, b), (8, ""), (8, None), (9, b + " x"), (12, "c d"), (12, a), (13, "c d"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert components(df) == brute_components([(i, t or "") for i, t in rows])
+    assert {c for i, _, c in components(df) if i in (4, 5, 8, 9, 12, 13)} == {4}
+
+
+def test_a_family_near_the_limit(spark):
+    """300 edits of one text, most pairs at 65 to 85 %: the same components as brute force, and no seed for most of the pairs."""
+    from quillgraph.llm.jaccard_join import JaccardJoin, _seeds
+    from quillgraph.operators.components import connected_components
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 9)):
+            w[at] = f"w{rng.randrange(3000)}"
+        texts.append((len(texts), " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert components(df) == brute_components(texts)
+    join = JaccardJoin(df)
+    join.profile()
+    tied = connected_components(join.verified(join.hub_pairs()))
+    seeds = join.postings(tied).repartitionById(join.buckets, "bucket").mapInArrow(_seeds(75, 100), "a long, b long").distinct().count()
+    assert 8 * seeds <= len(texts) * (len(texts) - 1) / 2
+
+
+def test_counts_are_added_in_a_tree(spark, monkeypatch):
+    from quillgraph.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "FAN_IN", 2)
+    parts = np.random.default_rng(1).integers(0, 9, (7, module.CHUNKS, (1 << module.WIDTH) // module.CHUNKS)).astype("<u4")
+    rows = [(c, bytearray(zlib.compress(p[c].tobytes()))) for p in parts for c in range(module.CHUNKS)]
+    join = module.JaccardJoin(spark.createDataFrame([], "doc_id long, text string"))
+    assert (join.token_counts(spark.createDataFrame(rows, "chunk int, counts binary")) == parts.sum(0).reshape(-1)).all()
+
+
 # ── pipeline ─────────────────────────────────────────────────────────────────
 def test_pipeline(spark):
     import corpus_pipeline as pipeline

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.sources.scratch import materialize, remove, scratch_base, scratch_path  # noqa: F401
@@ -42,6 +42,37 @@ def utf8_view(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[o[0] : o[-1]], o - o[0]
 
 
+#: Bytes of text that a task takes at a time where it makes Python objects of them.
+RUN_BYTES = 4 << 20
+
+
+def text_runs(batch, at: int, most: int = RUN_BYTES, most_rows: int = 1 << 15):
+    """Slices of a batch whose texts in column `at` have about `most` bytes; a longer text stands alone."""
+    offsets = utf8_view(batch.column(at))[1]
+    first, rows = 0, batch.num_rows
+    while first < rows:
+        last = max(first + 1, min(int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1, first + most_rows, rows))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+#: Keys that are joined by a broadcast because they hold more than one in so many of all rows; so there are fewer of them than this.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], many: str, *columns: str) -> DataFrame:
+    """Inner join of rows with a table of distinct keys and their numbers of rows, for its columns.
+
+    Rows of hot keys never meet in one task: a hot key has more than 1 / HOT_KEYS of the sum of `many`,
+    so fewer than HOT_KEYS keys are sent to all tasks. Both inputs are read several times: written tables.
+    """
+    total = table.agg(F.sum(many)).first()[0] or 0
+    is_hot = F.col(many) * HOT_KEYS > F.lit(total)
+    hot, cold = table.where(is_hot).select(*keys, *columns), table.where(~is_hot).select(*keys, *columns)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def release_memory() -> None:
     """Give freed memory back at the end of a task: Python workers are used again by later stages, beside the executor's heap."""
     import ctypes

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import id_filter
-from quillgraph.llm.common import materialize, partitions, remove, text_or_empty, utf8_view
+from quillgraph.llm.common import join_counted, materialize, partitions, release_memory, remove, text_or_empty, utf8_view
 from quillgraph.llm.shingles import mix
 from quillgraph.llm.suffix_array import common_prefixes, concatenate, suffix_array
 
@@ -117,6 +117,7 @@ def _find_runs(window: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[place].view(np.int64)), pa.array(content.view(np.int64)), ids.take(at), text_hashes.take(at), pa.array((s0 + a - offsets[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=names
                 )
+        release_memory()
 
     return run
 
@@ -126,6 +127,7 @@ def _filtered(table: np.ndarray, column: int, keep: bool = True):
         for batch in batches:
             got = id_filter.passes(table, batch.column(column).to_numpy())
             yield batch.filter(pa.array(got if keep else ~got))
+        release_memory()
 
     return run
 
@@ -200,6 +202,8 @@ def _shard(window: int):
                 rows.append(row)
         if rows:
             yield solve(rows)
+        rows.clear()
+        release_memory()
 
     return run
 
@@ -217,8 +221,7 @@ def _merge(batches):
     mine = digest[kind == 1]
     twice = np.searchsorted(merged, mine, "right") - np.searchsorted(merged, mine, "left") >= 2
     at = pa.array(np.flatnonzero(kind == 1)[twice])
-    for b in t.select(["doc_id", "text_hash", "start", "stop"]).take(at).to_batches():
-        yield b
+    yield from t.select(["doc_id", "text_hash", "start", "stop"]).take(at).to_batches()
 
 
 def _join_spans(spans) -> list[tuple[int, int]]:
@@ -250,6 +253,7 @@ def _remove_spans(batches):
             for column, v in zip(out, (doc_id, len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest())):
                 column.append(v)
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.string())], names=names)
+    release_memory()
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
@@ -258,18 +262,20 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     n = max(1, partitions(spark))
     runs = materialize(rows.select("doc_id", "text", "text_hash").mapInArrow(_find_runs(window), RUNS), "runs")
     seen = runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-    seen = materialize(seen.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
+    seen = materialize(seen.select("anchor", "total", (F.col("c0") != F.col("c1")).alias("mixed")), "anchors")
     table = id_filter.build(seen, "anchor", bits=ANCHOR_BITS)
     met = runs.withColumn("at", id_filter.place("anchor", bits=ANCHOR_BITS)).mapInArrow(_filtered(table, 6), RUNS + ", at long").drop("at")
-    met = materialize(met.join(seen, "anchor"), "repeated-anchors")
+    met = materialize(met, "likely-repeated")
     remove(runs)
-    kinds = met.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one"))
+    met = materialize(join_counted(met, seen, ["anchor"], "total", "mixed"), "repeated-anchors")
+    mixed = met.where("mixed").drop("mixed")
+    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one"))
     kinds = materialize(kinds, "kinds")
     whole = met.where("NOT mixed").select("doc_id", "text_hash", "start", "n")
-    copied = met.where("mixed").join(kinds.where("many > 1").select("anchor", "content"), ["anchor", "content"]).select("doc_id", "text_hash", "start", "n")
+    copied = join_counted(mixed, kinds.where("many > 1"), ["anchor", "content"], "many").select("doc_id", "text_hash", "start", "n")
     whole = whole.unionByName(copied).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
-    crowd = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD_RUNS).cast("int").alias("salts"))
-    placed = kinds.join(crowd, "anchor").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")).cast("int"))
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumn("salts", F.ceil(F.col("kinds") / SHARD_RUNS).cast("int"))
+    placed = join_counted(kinds, materialize(crowd, "crowds"), ["anchor"], "kinds", "salts").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")).cast("int"))
     asked = placed.select("one.*", F.struct("anchor", "salt", "salts", "many", F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("run"))
     asked = materialize(asked.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")), "asked")
     # Texts of documents that hold such runs alone are shuffled.
@@ -289,7 +295,8 @@ def suffix_dedup(docs: DataFrame, window: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: every byte under a window that starts anywhere else too is removed."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(rows, window)
-    per_doc = materialize(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    # Rows that repeat a text under one id have the same spans: a set, so that they do not add up.
+    per_doc = materialize(spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     table = id_filter.build(per_doc, "doc_id", "text_hash")
     placed = rows.select("doc_id", "text", "text_hash", id_filter.place("doc_id", "text_hash").alias("at"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

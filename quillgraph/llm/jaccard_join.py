@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import id_filter
-from quillgraph.llm.common import materialize, partitions, release_memory, utf8_view
+from quillgraph.llm.common import materialize, partitions, release_memory, text_runs, utf8_view
 from quillgraph.llm.shingles import mix, shingle_sets
 from quillgraph.operators.components import connected_components
 
@@ -67,7 +67,7 @@ def _profile(size: int):
     def run(batches):
         table = np.zeros(1 << WIDTH, np.int64)
         kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("hubs", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, 1)):
             n, digest, hubs, seen = [], [], [], []
             for s in shingle_sets(*utf8_view(batch.column(1)), size):
                 n.append(len(s))
@@ -118,7 +118,7 @@ def _sets_of(bits: np.ndarray, size: int):
     """Whole sets of the documents that the filter passes, sorted."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, 1)):
             batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
             sets = [s.tobytes() for s in shingle_sets(*utf8_view(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
@@ -131,7 +131,7 @@ def _prefixes_of(bits: np.ndarray, order: TokenOrder, size: int, num: int, den:
     """Lengthened prefixes of the documents that the filter passes: size of the set, m, then tokens in global order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, 1)):
             batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
             out = []
             for s in shingle_sets(*utf8_view(batch.column(1)), size):
@@ -320,7 +320,7 @@ def choose_matches(frequency: np.ndarray, size: int, overlap: int) -> int:
 
 def _postings(order: TokenOrder, buckets: int, size: int, num: int, den: int):
     def run(batches):
-        for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
+        for batch in (part for b in batches for part in text_runs(b, 1, 1 << 24)):
             ids, components = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             tokens, owner, side, place, sizes = [], [], [], [], []
             for k, s in enumerate(shingle_sets(*utf8_view(batch.column(1)), size)):

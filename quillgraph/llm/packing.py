@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import tokens
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, release_memory, text_runs
 
 #: Rows of one size class that are ranked in one window.
 RANKED = 20_000
@@ -39,7 +39,7 @@ def _cutter(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, 1)):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for doc_id, data in zip(ids, tokens.encode(texts, path)):
@@ -50,6 +50,7 @@ def _cutter(path: str, capacity: int, end_id: int):
                         out[name].append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+        release_memory()
 
     return run
 

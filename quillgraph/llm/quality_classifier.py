@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import boosted_trees
-from quillgraph.llm.common import crc_mod, utf8_view
+from quillgraph.llm.common import crc_mod, release_memory, text_runs, utf8_view
 
 #: Byte classes that are counted, each by its share of the text's bytes.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\f\r", b".,;:?'\"()", b"!", b"|", b"#*$%&<>", b"/\\@_=+-[]{}~^`", bytes(range(128, 256)))
@@ -69,16 +69,17 @@ def document_features(texts: pa.Array) -> np.ndarray:
 
 
 def _featurize(batches):
-    for batch in batches:
+    for batch in (part for b in batches for part in text_runs(b, 0)):
         x = document_features(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "doc_id", "h"])
 
 
 def _scorer(model: dict):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, 1)):
             score = boosted_trees.predict(model, document_features(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+        release_memory()
 
     return run
 
@@ -109,9 +110,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
 
 def _keeper(model: dict, at: int, threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in text_runs(b, at)):
             score = boosted_trees.predict(model, document_features(batch.column(at))) if batch.num_rows else np.zeros(0)
             yield batch.filter(pa.array(score >= threshold))
+        release_memory()
 
     return run
 

@@ -1,4 +1,4 @@
-"""Token ids of texts with a `tokenizers` vocabulary, by bounded caches of chunks and words.
+"""Token ids of texts with a `tokenizers` vocabulary, by caches of chunks and words bounded in bytes.
 
 The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are
 those of its white-space-delimited chunks in order. Most chunks of a corpus repeat. A new
@@ -18,10 +18,13 @@ import re
 
 import numpy as np
 
-#: Chunks and words that a worker keeps; the older half goes when there are more.
-CACHE = 500_000
-#: Documents between looks at the caches' sizes.
-RUN = 256
+#: Bytes that a worker's cache of chunks, and that of words, may take; the older half goes when it takes more.
+CACHE = 32 << 20
+#: What an entry takes beside its characters and ids, and the longest key that is kept.
+ENTRY, KEPT = 220, 64
+#: Characters of text between looks at the caches' sizes; longer texts are taken in parts of about as many.
+PART = 1 << 20
+SPACE = re.compile(r"\s")
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Chunks whose lower case and Unicode form need no tables: ASCII and Latin letters with marks.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -58,13 +61,24 @@ def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
 
-def _bounded(cache: dict) -> None:
-    if len(cache) > CACHE:
-        for key in list(itertools.islice(cache, len(cache) - CACHE // 2)):
-            del cache[key]
+class _Cache(dict):
+    """Ids by text, bounded in bytes. A key of more than KEPT characters is not kept."""
 
+    size = 0
 
-class _Words(dict):
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= KEPT:
+            self[key] = ids
+            self.size += ENTRY + len(key) + len(ids)
+        return ids
+
+    def bound(self) -> None:
+        if self.size > CACHE:
+            for key in list(itertools.islice(self, len(self) // 2)):
+                self.size -= ENTRY + len(key) + len(self.pop(key))
+
+
+class _Words(_Cache):
     """Ids of words in lower case; a new one goes to the model."""
 
     def __init__(self, model):
@@ -72,11 +86,10 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
-        return ids
+        return self.keep(word, b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)]))
 
 
-class _Chunks(dict):
+class _Chunks(_Cache):
     """Ids of chunks; a new one is made of its words' where it is plain. The vocabulary's special tokens hold '<'."""
 
     def __init__(self, tokenizer, model):
@@ -87,19 +100,37 @@ class _Chunks(dict):
             ids = b"".join(map(self.words.__getitem__, PLAIN_WORDS.findall(chunk.lower())))
         else:
             ids = _ids(self.tokenizer, chunk)
-        self[chunk] = ids
-        return ids
+        return self.keep(chunk, ids)
+
+
+def _parts(text: str):
+    """A text in parts of about PART characters, cut at white space."""
+    at = 0
+    while len(text) - at > PART:
+        gap = SPACE.search(text, at + PART)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
     chunks = _chunks(path)
     out: list[bytes] = []
-    for i, text in enumerate(texts):
+    done = 0
+    for text in texts:
         if ODD_SEPARATORS.search(text):
             out.append(_ids(chunks.tokenizer, text))
-        else:
-            out.append(b"".join(map(chunks.__getitem__, text.split())))
-        if i % RUN == 0:
-            _bounded(chunks), _bounded(chunks.words or {})
+            continue
+        ids = []
+        for part in _parts(text):
+            ids.append(b"".join(map(chunks.__getitem__, part.split())))
+            done += len(part)
+            if done > PART:
+                done = 0
+                chunks.bound()
+                if chunks.words is not None:
+                    chunks.words.bound()
+        out.append(ids[0] if len(ids) == 1 else b"".join(ids))
     return out

@@ -593,3 +593,22 @@ def test_token_ids_equal_the_tokenizers(docs):
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
     texts += ["<|endoftext|>", "a<|startoftext|>b", "it's WE'LL I'D don't 'S'T"] + [t for _, t in texts_of(docs)]
     assert tokens.encode(texts, path) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_caches_of_tokens_are_bounded_in_bytes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "CACHE", 200_000)
+    monkeypatch.setattr(tokens, "PART", 10_000)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    text = " ".join(words) + " " + "x" * 500 + "\n" + "long-chunk-" * 3000
+    expected = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert tokens.encode([text, text, ""], path) == [expected, expected, b""]
+    chunks = tokens._chunks(path)
+    assert chunks.size <= 200_000 + 12_000 * 60 and max(map(len, chunks)) <= tokens.KEPT
+    assert chunks.size == sum(tokens.ENTRY + len(k) + len(v) for k, v in chunks.items())

@@ -11,8 +11,9 @@ that both sizes allow is a seed. Seeds are then held against the lengthened pref
 those that share as many tokens as these ask for are verified on their whole sets.
 
 Hot groups. Equal sets are one node before anything else. Near copies are first tied to
-hub documents (the smallest id among those with a common min-wise token, an aggregation that
-combines before the shuffle), the ties verified, and components formed. From then on a pair
+hub documents (of those with a common min-wise token the one whose tokens are the most frequent, and
+so the family's middle; an aggregation that combines before the shuffle), the ties verified, and
+components formed. From then on a pair
 inside one component needs no test, so postings that stay in one component make no pair,
 and a group of copies costs as many tests as it has members. Members of a family that are too
 far from its middle to link with most others have few of its tokens early in their order, so
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import id_filter
-from quillgraph.llm.common import materialize, partitions, release_memory, text_runs, utf8_view
+from quillgraph.llm.common import join_counted, materialize, partitions, release_memory, text_runs, utf8_view
 from quillgraph.llm.shingles import mix, shingle_sets
 from quillgraph.operators.components import connected_components
 
@@ -127,6 +128,19 @@ def _sets_of(bits: np.ndarray, size: int):
     return run
 
 
+def _scores(bits: np.ndarray, order: TokenOrder, size: int):
+    """How often the tokens of a document are seen, in the mean of logarithms."""
+
+    def run(batches):
+        for batch in (part for b in batches for part in text_runs(b, 1)):
+            batch = batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy())))
+            score = [int(1000 * order.table[(s >> U(64 - WIDTH)).astype(np.int64)].mean()) if len(s) else None for s in shingle_sets(*utf8_view(batch.column(1)), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.int64())], names=["node", "score"])
+        release_memory()
+
+    return run
+
+
 def _prefixes_of(bits: np.ndarray, order: TokenOrder, size: int, num: int, den: int):
     """Lengthened prefixes of the documents that the filter passes: size of the set, m, then tokens in global order."""
 
@@ -261,10 +275,23 @@ class JaccardJoin:
         return self._passing(materialize(pairs, "pairs"), lambda bits: _sets_of(bits, self.size), _link(self.num, self.den), "links")
 
     def hub_pairs(self) -> DataFrame:
-        """Each node with the smallest node that has the same min-wise token, for each of HUBS kinds of tokens."""
+        """Each node with the most central of the nodes that have the same min-wise token, for each of HUBS kinds of tokens.
+
+        A node is the more central the more often its tokens are seen in all documents: few of them are its own.
+        """
         tokens = self.nodes.select("node", F.posexplode("hubs").alias("kind", "token"))
-        hubs = tokens.groupBy("kind", "token").agg(F.min("node").alias("hub"), F.count("*").alias("many")).where("many > 1")
-        return tokens.join(hubs, ["kind", "token"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        keys = ["kind", "token"]
+        crowds = materialize(tokens.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1"), "crowds")
+        met = materialize(join_counted(tokens, crowds, keys, "many"), "crowded")
+        if not met.limit(1).count():
+            return met.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        bits = id_filter.build(met.select("node"), "node")
+        rows = self.rows.where("id IS NOT NULL").withColumn("at", id_filter.place("id"))
+        scores = rows.mapInArrow(_scores(bits, self.order, self.size), "node long, score long").groupBy("node").agg(F.max("score").alias("score"))
+        hubs = met.join(scores, "node").groupBy(*keys).agg(F.max(F.struct("score", (-F.col("node")).alias("low")))["low"].alias("low"), F.count("*").alias("many"))
+        hubs = materialize(hubs.select(*keys, "many", (-F.col("low")).alias("hub")), "hubs")
+        pairs = join_counted(met, hubs, keys, "many", "hub").where("node <> hub")
+        return pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     def shared_ids(self) -> DataFrame:
         """Edges between the nodes of the texts of one id, where an id repeats with several texts."""

@@ -37,6 +37,8 @@ from quillgraph.llm.common import materialize, partitions, scratch_path
 CAPTURE = "key string, file string, offset long, length long"
 #: Captures in a block of the index.
 BLOCK = 512
+#: Bytes of an archive that are read back by one task together, and bytes that a task reads in all.
+STRETCH, TASK_BYTES = 4 << 20, 64 << 20
 
 
 def url_key(url: str | None) -> str:
@@ -229,10 +231,12 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> Dat
     """Write a record per page into archives below folder; returns the captures (key, file, offset, length)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
-    top = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top_id"))
-    roles = rows.select("page_id", "sha", "size").join(top, ["sha", "size"]).select("page_id", "sha", F.when((F.col("size") >= least_revisit) & (F.coalesce("page_id", F.lit(-1)) != F.col("top_id")), F.col("top_id")).alias("refers_to")).distinct()
-    joined = rows.alias("p").join(roles.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.sha") == F.col("r.sha")))
-    return materialize(joined.select("p.page_id", "url", "payload", "refers_to").mapInArrow(_archive_writer(folder), CAPTURE), "captures")
+    top = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top_id"), F.count("*").alias("many")).where("many > 1")
+    # A table of repeated payloads alone, written so that Spark knows its size: small, it goes to the payloads, which then stay where they are.
+    repeated = materialize(top.where(F.col("size") >= least_revisit).select("sha", "size", "top_id"), "repeated-payloads")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("top_id")), F.col("top_id")).alias("refers_to")
+    joined = rows.join(repeated, ["sha", "size"], "left").select("page_id", "url", "payload", refers)
+    return materialize(joined.mapInArrow(_archive_writer(folder), CAPTURE), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple[str, str]]:
@@ -249,8 +253,9 @@ def lookup(keys: DataFrame, folder: str, parts: list[tuple[str, str]]) -> DataFr
 
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """Range-read and decode the records at (file, offset, length)."""
-    near = places.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    """Range-read and decode the records at (file, offset, length). A task has the records of a few stretches of archives."""
+    n = max(1, partitions(places.sparkSession), -(-(places.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    near = places.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return near.mapInArrow(_record_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -260,4 +265,4 @@ def archive_round_trip(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     archives, index = scratch_path(spark, "warc"), scratch_path(spark, "cdx")
     captures = write_archives(pages, archives, least_revisit)
     parts = write_index(captures, index)
-    return read_records(lookup(captures, index, parts), archives)
+    return read_records(materialize(lookup(captures, index, parts), "found-captures"), archives)

@@ -31,6 +31,15 @@ ALL = "all"
 CLASSES_PER_E = 16
 
 
+#: Rows of a table of groups up to which it is sent to all tasks (a row has 22 numbers at most).
+MOST_GROUPS = 20_000
+
+
+def _sized(groups: DataFrame) -> DataFrame:
+    """A written table of groups, sent to all tasks where its counted rows are few: rows of a hot group then stay where they are."""
+    return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -119,7 +128,7 @@ def _distances(rows: DataFrame, stats: DataFrame, *more: str) -> DataFrame:
     d = range(len(FLOOR))
     keep = [f"m{i}" for i in d] + [f"l{i}{j}" for i in d for j in range(i + 1)]
     d2 = _cholesky_distance([F.col(f"x{i}") for i in d], [F.col(f"m{i}") for i in d], None)
-    return rows.join(stats.select("grp", *keep, *more), "grp").withColumn("d2", d2).drop(*keep)
+    return rows.join(_sized(stats.select("grp", *keep, *more)), "grp").withColumn("d2", d2).drop(*keep)
 
 
 def _class_of(d2: Column) -> Column:
@@ -143,14 +152,14 @@ def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame
     """
     d = range(len(FLOOR))
     mids = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d]), "mcd-middle")
-    mads = rows.join(mids, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
+    mads = rows.join(_sized(mids), "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in d for j in d if i < j]
     stats = _with_factor(mads.select("grp", *[f"m{i}" for i in d], *[((F.lit(1.4826) * F.col(f"s{i}")) ** 2).alias(f"c{i}{i}") for i in d], *zero))
     stats = materialize(stats, "mcd-start")
     for _ in range(steps):
         far = _distances(rows, stats)
         cut = materialize(_quantile_class(far, h), "mcd-cut")
-        near = far.join(cut, "grp").where(_class_of(F.col("d2")) <= F.col("cut"))
+        near = far.join(_sized(cut), "grp").where(_class_of(F.col("d2")) <= F.col("cut"))
         stats = materialize(_moments(near), "mcd-step")
     middle = _quantile_class(_distances(rows, stats), 0.5).select("grp", F.greatest(F.exp((F.col("cut") + 0.5) / CLASSES_PER_E) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
     return materialize(stats.join(middle, "grp"), "mcd-estimates")
@@ -176,8 +185,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CHI2_TAIL, h: float = 0.75, l
     keys = _keys_in_use(usable, least)
     # A pooled group holds all rows of its language, or all, not those of small groups alone.
     pooled = usable.select(F.explode(F.array(F.col("own"), F.col("wide"), F.lit(ALL))).alias("grp"), *VECTOR)
-    estimates = mcd_estimates(materialize(pooled.join(keys.select("grp").distinct(), "grp", "left_semi"), "rule-vectors"), h)
+    groups = materialize(keys.select("grp").distinct(), "rule-groups-in-use")
+    estimates = mcd_estimates(materialize(pooled.join(_sized(groups), "grp", "left_semi"), "rule-vectors"), h)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    far = _distances(usable.join(keys, "own"), estimates, "scale").withColumn("d2", F.col("d2") / F.col("scale"))
+    far = _distances(usable.join(_sized(keys), "own"), estimates, "scale").withColumn("d2", F.col("d2") / F.col("scale"))
     judged = far.select(*base, (F.col("d2") <= cutoff).alias("kept"), F.col("d2"))
     return judged.unionByName(rows.where("base_failed").select(*base, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2")))

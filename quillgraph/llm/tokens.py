@@ -18,8 +18,8 @@ import re
 
 import numpy as np
 
-#: Bytes that a worker's cache of chunks, and that of words, may take; the older half goes when it takes more.
-CACHE = 32 << 20
+#: Bytes that a worker's cache of chunks, and that of words, may take. Then the newer half goes: what repeats most comes first.
+CACHE = 96 << 20
 #: What an entry takes beside its characters and ids, and the longest key that is kept.
 ENTRY, KEPT = 220, 64
 #: Characters of text between looks at the caches' sizes; longer texts are taken in parts of about as many.
@@ -74,7 +74,7 @@ class _Cache(dict):
 
     def bound(self) -> None:
         if self.size > CACHE:
-            for key in list(itertools.islice(self, len(self) // 2)):
+            for key in list(itertools.islice(self, len(self) // 2, None)):
                 self.size -= ENTRY + len(key) + len(self.pop(key))
 
 

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from quillgraph.functions import predicates as P
 from quillgraph.operators.citedness import degrees
 
-# Titles that no author wrote.
-JUNK_TITLES = r"(?i)^(untitled|index|contents|table of contents|front matter|back matter|title page)\b"
+# What marks a title as a piece of a citation that no author can be found for. Letters and digits of any script count.
+JUNK_TITLES = (
+    r"^\s*\d",
+    r"(?i)^\s*if\s+[a-z]\b",
+    r"(?i)^\s*a mental action that is",
+    r"(?i)\b(pp?\.|vol\.)\s*\d",
+    r"^[^\p{L}\p{N}]+$",
+    r"(?i);\s*and\b",
+)
+#: A title of fewer characters is junk too.
+LEAST_TITLE = 6
 
 
 def triage_candidates(works: DataFrame, relevance: DataFrame, matrix: DataFrame, threshold: int = 3) -> DataFrame:
@@ -51,11 +60,20 @@ def title_only(matrix: DataFrame, works: DataFrame) -> DataFrame:
     return matrix.where("text_source = 'title' AND NOT is_review").join(works.where(~P.has_text("abstract")).select("key"), "key", "left_semi")
 
 
+def junk_title(title: str = "title"):
+    """Whether a title is none: too short, or of one of the JUNK_TITLES."""
+    t = F.trim(F.coalesce(F.col(title), F.lit("")))
+    junk = F.length(t) < LEAST_TITLE
+    for pattern in JUNK_TITLES:
+        junk = junk | t.rlike(pattern)
+    return junk
+
+
 def authorless(works: DataFrame) -> DataFrame:
-    """(key, kind): works without an author's name: junk if the title is none, else to recover."""
-    no_name = ~P.has_text("author1") & ~P.has_text("author2")
-    junk = F.col("title").rlike(JUNK_TITLES) | (F.length(F.trim("title")) < 6)
-    return works.where(no_name | junk).select("key", F.when(junk, "junk").otherwise("recover").alias("kind"))
+    """(key, kind) of works without an author's name: junk if the title is none or a hand marked it so (junk_title), else recover."""
+    by_hand = F.coalesce(F.col("junk_title"), F.lit(False)) if "junk_title" in works.columns else F.lit(False)
+    kind = F.when(by_hand | junk_title(), "junk").otherwise("recover")
+    return works.where(~P.has_text("author1") & ~P.has_text("author2")).select("key", kind.alias("kind"))
 
 
 def seed_references(refs: DataFrame) -> DataFrame:

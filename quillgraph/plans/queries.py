@@ -434,9 +434,36 @@ def _(v):
     return worklists.title_only(matrix(v), v("works")).select("key")
 
 
-@query("authorless", f"SELECT key, CASE WHEN regexp_matches(title, '{worklists.JUNK_TITLES}') OR length(trim(title)) < 6 THEN 'junk' ELSE 'recover' END AS kind FROM works WHERE (coalesce(trim(author1), '') = '' AND coalesce(trim(author2), '') = '') OR regexp_matches(title, '{worklists.JUNK_TITLES}') OR length(trim(title)) < 6", "works")
+JUNK = " OR ".join(["length(trim(title)) < 6", *[f"regexp_matches(trim(title), '{p}')" for p in worklists.JUNK_TITLES]])
+
+
+@query("authorless", f"SELECT key, CASE WHEN {JUNK} THEN 'junk' ELSE 'recover' END AS kind FROM (SELECT key, CASE citations % 2 WHEN 0 THEN title ELSE concat('pp. 12 of ', title) END AS title, citations FROM works) WHERE citations % 3 = 0", "works")
+def _(v):
+    n = F.col("citations")
+    blank = {c: F.when(n % 3 == 0, " ").otherwise(F.coalesce(c, F.lit("a"))) for c in ("author1", "author2")}
+    return worklists.authorless(v("works").withColumns({**blank, "title": F.when(n % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("pp. 12 of "), "title"))}))
+
+
+@query("junk_titles", f"SELECT item_key, {JUNK} AS junk FROM (SELECT key AS item_key, CASE citations % 7 WHEN 0 THEN concat('105-127) ', title) WHEN 1 THEN concat('If T is ', title) WHEN 2 THEN concat(title, ' pp. 31') WHEN 3 THEN concat(title, '; and more') WHEN 4 THEN ' -- ** -- ' ELSE title END AS title FROM works)", "works")
+def _(v):
+    n = F.col("citations") % 7
+    title = F.when(n == 0, F.concat(F.lit("105-127) "), "title")).when(n == 1, F.concat(F.lit("If T is "), "title")).when(n == 2, F.concat("title", F.lit(" pp. 31")))
+    title = title.when(n == 3, F.concat("title", F.lit("; and more"))).when(n == 4, " -- ** -- ").otherwise(F.col("title"))
+    return v("works").select(F.col("key").alias("item_key"), title.alias("title")).select("item_key", worklists.junk_title().alias("junk"))
+
+
+@query(
+    "serial_venues",
+    r"""SELECT key, 'article' AS work_type, 'serial-venue' AS work_type_source, series AS venue, nullif(number, '') AS volume
+FROM (SELECT key, regexp_extract(held, '(?i)(src3|src7)(?:[,\s]*(?:Volume|Vol\.?)\s*(\d+))?', 1) AS series, regexp_extract(held, '(?i)(src3|src7)(?:[,\s]*(?:Volume|Vol\.?)\s*(\d+))?', 2) AS number
+      FROM (SELECT key, concat(venue, ' ', CASE citations % 3 WHEN 0 THEN concat(', Volume ', citations % 9) WHEN 1 THEN concat('VOL. ', citations % 5) ELSE 'proceedings' END) AS held FROM works))
+WHERE series <> ''""",
+    "works",
+)
 def _(v):
-    return worklists.authorless(v("works"))
+    n = F.col("citations")
+    volume = F.when(n % 3 == 0, F.concat(F.lit(", Volume "), (n % 9).cast("string"))).when(n % 3 == 1, F.concat(F.lit("VOL. "), (n % 5).cast("string"))).otherwise("proceedings")
+    return enrich.serial_venues(v("works").withColumn("container_title", volume), ("src3", "src7"))
 
 
 @query("hand_kept", "SELECT w.key FROM works w LEFT JOIN relevance r ON w.key = r.key WHERE trim(w.title) <> '' AND (coalesce(r.score, 0) >= 4 OR (w.hop = 3 AND NOT (w.citations > 80) AND trim(w.abstract) <> ''))", *RES)

@@ -257,3 +257,19 @@ def test_density_clusters(spark):
     got = {r["vec_id"]: r["cluster"] for r in cluster.density_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 8).collect()}
     assert len({got[i] for i in range(0, 40, 2)}) == 1 and len({got[i] for i in range(1, 40, 2)}) == 1 and got[0] != -1
     assert cluster.cluster_sizes(cluster.density_clusters(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), 8)).first()["cluster"] == -1
+
+
+def test_serial_venues_and_junk_titles(spark):
+    from quillgraph.operators.enrich import serial_venues
+    from quillgraph.operators.worklists import authorless
+
+    works = spark.createDataFrame(
+        [("a", "Oxford Studies in Metaethics", "Volume 7", None), ("b", "x", "oxford studies in normative ethics, Vol. 3", "9"), ("c", "Mind", None, None), ("d", None, "Oxford Studies in Metaethics", None)],
+        "key string, venue string, container_title string, volume string",
+    )
+    got = {r["key"]: (r["work_type"], r["venue"], r["volume"]) for r in serial_venues(works).collect()}
+    assert got == {"a": ("article", "Oxford Studies in Metaethics", "7"), "b": ("article", "oxford studies in normative ethics", "9"), "d": ("article", "Oxford Studies in Metaethics", None)}
+    titles = ["105-127) of it", "If T is its own", "A mental action that is", "Luck, pp. 3", "-- *** --", "One; and Two", "short", None, "Éthique générale", "Moral luck and ice floes", "On iffy things"]
+    rows = [(str(i), t, "", " ", i == 10) for i, t in enumerate(titles)] + [("n", "5 names", "Ann", None, False)]
+    got = {r["key"]: r["kind"] for r in authorless(spark.createDataFrame(rows, "key string, title string, author1 string, author2 string, junk_title boolean")).collect()}
+    assert got == {str(i): "recover" if i in (8, 9) else "junk" for i in range(len(titles))}

@@ -14,6 +14,7 @@ from quillgraph.functions import predicates as P
 from quillgraph.operators import audit, citedness, cluster, enrich, expand, leverage, match, reports, resolve, scoring, worklists
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
+from quillgraph.sources.scratch import materialize
 
 QUERIES: dict[str, tuple[tuple[str, ...], object, str | None]] = {}
 
@@ -510,7 +511,8 @@ h2 AS (SELECT DISTINCT adj.b AS key, 2 AS hop FROM h1 JOIN pass ON h1.key = pass
 
 @query("snowball", REACH.replace("RECURSIVE ", "") + " SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2", "works", "edges", "relevance")
 def _(v):
-    return expand.snowball(v("edges"), v("works").where("is_seed"), v("relevance").where("score >= 3"), 2)[0]
+    edges, passing = materialize(v("edges"), "edges"), materialize(v("relevance").where("score >= 3").select("key"), "passing")
+    return expand.snowball(edges, v("works").where("is_seed"), passing, 2, materialize)[0]
 
 
 @query("expand_once", "SELECT e.src AS seed, e.dst AS key, 3 AS hop, w.hop > 2 AS is_new FROM edges e JOIN works s ON e.src = s.key JOIN works w ON e.dst = w.key WHERE s.is_seed UNION ALL SELECT e.dst, e.src, 3, w.hop > 2 FROM edges e JOIN works s ON e.dst = s.key JOIN works w ON e.src = w.key WHERE s.is_seed", "works", "edges")

@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: each stage applies one operator and its decisions take effect."""
+"""From raw documents to packed training sequences: each stage applies one operator and its decisions take effect.
+
+Defined results of all stages: an empty table gives an empty result; columns other than those
+of documents are ignored and not returned; null texts count as empty.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Rows that repeat are judged each; null and empty texts by an empty text's statistics; without labels all stay."""
     return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -48,7 +52,11 @@ def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time a document is taken; one that a source's budget cuts keeps its first words."""
+    """A row for every time a document is taken; one that a source's budget cuts keeps its first words.
+
+    Texts without a word have size 0 and are not taken; a null source is a source of its own; rows that repeat an id are
+    told apart by size, then text, and each is taken as its own row.
+    """
     taken = mix_sources(docs).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("taken")).alias("all_taken"))
     place = Window.partitionBy("doc_id", "size").orderBy("text")
     rows = docs.select(*COLUMNS).withColumn("size", n_words("text")).withColumn("place", F.row_number().over(place))
@@ -62,7 +70,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences. Rows that repeat are packed each; an empty text is its end mark."""
     return pack_documents(docs)
 
 

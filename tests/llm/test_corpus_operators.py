@@ -582,6 +582,24 @@ def test_pipeline(spark):
     assert counts[0] <= docs.count() and counts[1] <= counts[0] and counts[2] <= counts[1] and counts[4] >= counts[3] > 0
 
 
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
+    import corpus_pipeline as P
+
+    docs = awkward.select(*P.COLUMNS).limit(0)
+    assert all(stage(spark, docs if "classifier" not in name else empty, SF).count() == 0 for name, stage in P.STAGES if name != "n-gram Jaccard join")
+    good = P.good_documents(spark, awkward, SF)
+    assert good.columns == P.COLUMNS and good.count() <= awkward.count()
+    mixed = P.mixed_documents(spark, awkward, SF).collect()
+    taken = Counter()
+    for r in mixed:
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    sizes = Counter()
+    for r in awkward.select("source", "text").collect():
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert all(0 <= taken[s] <= 2 * n for s, n in sizes.items()) and abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 3
+    assert P.packed_documents(spark, awkward, SF).where("start = 0").count() == awkward.count()
+
+
 def test_pipeline_drops_repeated_rows(spark, awkward):
     import corpus_pipeline as pipeline
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
+from quillgraph.sources.scratch import materialize
 
 # Fixed values of the ranking rules.
 BOOST, BOOST_LEVERAGE, BOOST_CITES = 1.5, 9.0, 3.0
@@ -33,38 +34,33 @@ def dedup_titles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def _fold_block(rows):
-    """Drop truncated twins within one (surname, year) block, longest title first, in the order of the rows."""
-    import pandas as pd
-
-    rows = rows.sort_values("ord", kind="stable")
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: -len(rows["title"].iloc[i]))]
-    names, ranks, keep = rows["norm"].tolist(), list(zip(rows["rank"], rows["score"])), [True] * len(rows)
-    by_name: dict[str, list[int]] = {}
-    for i, n in enumerate(names):
-        by_name.setdefault(n, []).append(i)
-    for i, name in enumerate(names):
-        if not keep[i] or not name:
-            continue
-        # Every shorter name that this one continues after a space.
-        cuts = [name[:p] for p, c in enumerate(name) if c == " "]
-        for j in sorted(j for cut in cuts for j in by_name.get(cut, ()) if j > i):
-            if keep[j]:
-                keep[j if ranks[i] >= ranks[j] else i] = False
-    return pd.DataFrame({"key": rows["key"][keep]})
-
-
 def fold_truncated(rows: DataFrame, authors: str = "author1") -> DataFrame:
     """Second pass: a title that another of the same surname and year continues at a word's end is the same work.
 
-    Order within a block matters: a longer row that has lost still eliminates others. A block
-    is one surname in one year; chapters and rows without surname pass untouched.
+    A pair is settled by source and score, the longer title at a tie. Titles are taken from the
+    longest on, and one that has lost to a shorter one still beats others, so the outcome needs no
+    loop: a shorter title goes if any continuation of it is as good (that one, or whoever beat it,
+    had its turn), and a longer one goes if it meets a better shorter title that no earlier turn has
+    taken. Continuations are found by equal keys, every cut of a title at a space. Chapters,
+    rows without surname and titles without a letter or digit stay; no year equals no year.
     """
     surname = F.lower(N.surname_shown(authors))
-    marked = rows.withColumns({"_surname": surname, "_free": (F.coalesce(N.doi_role("key"), F.lit("")) == "chapter") | (surname == "")})
-    block = marked.where("NOT _free").select("key", "ord", "title", N.title_stripped("title").alias("norm"), N.source_rank("text_source").alias("rank"), F.coalesce("score", F.lit(0)).alias("score"), "_surname", F.coalesce("year", F.lit(-1)).alias("_year"))
-    kept = block.groupBy("_surname", "_year").applyInPandas(lambda g: _fold_block(g), "key string")
-    return marked.where("_free").drop("_surname", "_free").unionByName(marked.where("NOT _free").join(kept, "key", "left_semi").drop("_surname", "_free"))
+    block = rows.where((F.coalesce(N.doi_role("key"), F.lit("")) != "chapter") & (surname != "")).select(
+        "key", "ord", N.title_stripped("title").alias("norm"), surname.alias("surname"), F.coalesce("year", F.lit(-1)).alias("year"),
+        F.struct(N.source_rank("text_source").alias("source"), F.coalesce("score", F.lit(0)).alias("score")).alias("worth"),
+        F.struct((-F.length("title")).alias("length"), F.col("ord").alias("ord"), F.col("key").alias("key")).alias("turn"),
+    )
+    block = block.where("norm <> ''")
+    words = F.split("norm", " ")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    longer = block.where(F.size(words) > 1).withColumn("cut", F.explode(cuts)).alias("a")
+    met = (F.col("a.cut") == F.col("b.norm")) & (F.col("a.surname") == F.col("b.surname")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.turn") < F.col("b.turn"))
+    pairs = longer.join(block.alias("b"), met)
+    pairs = materialize(pairs.select(F.col("a.turn").alias("long"), F.col("b.turn").alias("short"), (F.col("a.worth") >= F.col("b.worth")).alias("wins")), "continued-titles")
+    taken = pairs.where("wins").groupBy("short").agg(F.min("long").alias("taken"))
+    beaten = pairs.where("NOT wins").join(taken, "short", "left").where(F.col("taken").isNull() | (F.col("taken") > F.col("long")))
+    gone = taken.select("short.ord", "short.key").unionByName(beaten.select("long.ord", "long.key")).distinct()
+    return rows.join(gone, ["key", "ord"], "left_anti")
 
 
 def clusters(rows: DataFrame) -> DataFrame:

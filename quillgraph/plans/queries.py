@@ -42,6 +42,15 @@ ROLE = """CASE WHEN key NOT LIKE 'doi:%' THEN NULL WHEN regexp_matches(lower(key
 SRC_RANK = "CASE text_source WHEN 'full' THEN 2 WHEN 'abstract' THEN 1 ELSE 0 END"
 DEDUP = f"""deduped AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)), CASE WHEN ({ROLE}) = 'chapter' THEN ({STEM}) ELSE '' END
  ORDER BY {SRC_RANK} DESC, coalesce(score, 0) DESC, ord) AS place FROM lrows) WHERE place = 1)"""
+SHOWN = """CASE WHEN trim(coalesce(author1, '')) = '' THEN '' WHEN contains(author1, ',') THEN trim(split_part(trim(author1), ',', 1))
+ ELSE coalesce(([w for w in regexp_split_to_array(trim(author1), '\\s+') if NOT regexp_matches(w, '^\\d{3,4}[-–]?$')])[-1], trim(author1)) END"""
+FOLD = f"""fblock AS (SELECT ord, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', '', 'g')) AS norm, lower({SHOWN}) AS s, coalesce(year, -1) AS y, {SRC_RANK} AS rank, coalesce(score, 0) AS sc, length(title) AS len
+ FROM deduped WHERE coalesce({ROLE}, '') <> 'chapter'),
+fpairs AS (SELECT a.ord AS l, a.len, b.ord AS b, a.rank > b.rank OR (a.rank = b.rank AND a.sc >= b.sc) AS wins FROM fblock a JOIN fblock b ON a.s = b.s AND a.y = b.y AND starts_with(a.norm, concat(b.norm, ' '))
+ WHERE a.s <> '' AND b.norm <> '' AND (a.len > b.len OR (a.len = b.len AND a.ord < b.ord))),
+fgone AS (SELECT b AS ord FROM fpairs WHERE wins
+ UNION SELECT l FROM fpairs p WHERE NOT wins AND NOT EXISTS (SELECT 1 FROM fpairs q WHERE q.b = p.b AND q.wins AND (q.len > p.len OR (q.len = p.len AND q.l < p.l)))),
+folded AS (SELECT * FROM deduped WHERE ord NOT IN (SELECT ord FROM fgone))"""
 PID = """CASE WHEN trim(coalesce(doi, '')) NOT IN ('', 'none') THEN concat('doi:', lower(trim(doi))) WHEN trim(coalesce(oa_id, '')) NOT IN ('', 'None') THEN concat('oa:', trim(oa_id))
  WHEN trim(coalesce(s2_id, '')) NOT IN ('', 'None') THEN concat('s2:', trim(s2_id)) ELSE concat('title:', lower(trim(title))) END"""
 CITED = f"""ids AS (SELECT key, {PID} AS pid FROM works),
@@ -85,7 +94,7 @@ def _(v):
     return leverage.dedup_titles(lev_rows(v)).select("key", "title", "score")
 
 
-@query("truncated_title_fold", None)
+@query("truncated_title_fold", f"WITH {LEV}, {ROWS}, {DEDUP}, {FOLD} SELECT key, title FROM folded", "works", "relevance", "depths", "issues")
 def _(v):
     return leverage.fold_truncated(leverage.dedup_titles(lev_rows(v))).select("key", "title")
 
@@ -99,7 +108,7 @@ def _(v):
 
 
 def ranked(v):
-    rows = leverage.dedup_titles(lev_rows(v))
+    rows = materialize(leverage.fold_truncated(leverage.dedup_titles(lev_rows(v).drop("abstract"))), "ranked-rows")
     ids = citedness.identities(v("works"))
     cited = ids.join(citedness.identity_citedness(v("edges"), ids, leverage.leverage(v("depths"), v("issues"))), "pid").select("key", "in_corpus_weighted")
     glob = citedness.global_citedness(v("works"), v("counts")).select("key", "cite_reliable", "cites_per_year")
@@ -107,15 +116,15 @@ def ranked(v):
     return leverage.rank_table(rows.withColumn("author", F.col("author1")), leverage.cutoffs(rows))
 
 
-TABLE = f"""{LEV}, {ROWS}, {DEDUP}, {CUTS.format(rows='deduped')}, {CITED}, {GLOBAL},
-cr AS (SELECT key, lev, {STEM} AS stem, {ROLE} AS role FROM deduped),
+TABLE = f"""{LEV}, {ROWS}, {DEDUP}, {FOLD}, {CUTS.format(rows='folded')}, {CITED}, {GLOBAL},
+cr AS (SELECT key, lev, {STEM} AS stem, {ROLE} AS role FROM folded),
 cs AS (SELECT stem, max(CASE WHEN role = 'book' THEN key END) AS book_key, bool_or(role = 'chapter') AS ch FROM cr WHERE stem IS NOT NULL GROUP BY stem),
 ct AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY lev DESC, role = 'book' DESC, key DESC) AS n FROM cr WHERE stem IS NOT NULL),
 cl AS (SELECT ct.key, ct.stem, CASE WHEN ct.role = 'chapter' THEN cs.book_key END AS parent_key, ct.n = 1 AS cluster_top FROM ct JOIN cs ON ct.stem = cs.stem WHERE cs.book_key IS NOT NULL AND cs.ch),
 tb AS (SELECT d.key, d.ord, d.title, d.author1 AS author, d.year, d.is_review, cl.stem, cl.parent_key, d.text_source = 'title' AND NOT d.is_review AS no_abstract,
  NOT d.is_review AND g.cite_reliable AND d.lev >= 9 AND coalesce(g.cites_per_year, 0) >= 3 AS boosted, d.lev AS l0, g.cites_per_year, c.in_corpus_weighted,
  NOT d.is_review AND NOT (d.text_source = 'title' AND NOT d.is_review) AS ranked, cl.cluster_top
- FROM deduped d LEFT JOIN ids i ON d.key = i.key LEFT JOIN cited c ON i.pid = c.pid LEFT JOIN global g ON d.key = g.key LEFT JOIN cl ON d.key = cl.key),
+ FROM folded d LEFT JOIN ids i ON d.key = i.key LEFT JOIN cited c ON i.pid = c.pid LEFT JOIN global g ON d.key = g.key LEFT JOIN cl ON d.key = cl.key),
 lit AS (SELECT key, ord, title, author, year, is_review, stem, parent_key, no_abstract, boosted, CASE WHEN NOT no_abstract THEN l0 END AS lev,
  CASE WHEN NOT no_abstract THEN round(l0 + CASE WHEN boosted THEN 1.5e0 ELSE 0 END, 1) END AS composite, ranked AND l0 >= visible_min AS visible,
  ranked AND l0 >= star_min AND coalesce(in_corpus_weighted, 0) >= 5 AND (stem IS NULL OR cluster_top) AS star, cites_per_year, in_corpus_weighted FROM tb CROSS JOIN cuts)"""

@@ -70,6 +70,31 @@ def test_truncated_titles_fold(works):
     assert keys(work("a", "One two three four", text_source="abstract"), work("b", "One two three", text_source="full"), work("c", "One two", text_source="title")) == {"b"}
 
 
+def test_truncated_titles_fold_as_the_loop_does(works):
+    import random
+
+    rng = random.Random(5)
+    sources = {"title": 0, "abstract": 1, "full": 2}
+    rows = []
+    for i in range(150):
+        title = " ".join(rng.choice(["a", "b", "b!"]) for _ in range(rng.randint(1, 5))) + rng.choice(["", "!!", "?"])
+        rows.append(work(f"k{i}", title, rng.choice(["Lee, A", "Ann Lee 1966-", "Kim, B"]), year=rng.choice([1999, None]), text_source=rng.choice(list(sources))))
+    table = works(*rows)
+    data = sorted(table.collect(), key=lambda r: r["ord"])
+    data.sort(key=lambda r: -len(r["title"]))
+    norm = lambda r: "".join(c for c in r["title"].lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ").strip()
+    family = lambda r: "kim" if "Kim" in r["author1"] else "lee"
+    worth = lambda r: (sources[r["text_source"]], r["score"] or 0)
+    gone = set()
+    for i, r in enumerate(data):
+        for s in data[i + 1 :] if r["key"] not in gone else []:
+            if s["key"] not in gone and norm(s) and norm(r).startswith(norm(s) + " ") and family(r) == family(s) and r["year"] == s["year"]:
+                gone.add(s["key"] if worth(r) >= worth(s) else r["key"])
+    assert len(gone) > 30
+    assert {r["key"] for r in leverage.fold_truncated(table).collect()} == {r["key"] for r in data} - gone
+    assert leverage.fold_truncated(table.limit(0)).count() == 0
+
+
 def test_leverage_is_linear_in_weights(spark):
     depths = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "x", 0), ("b", "z", 3)], "key string, issue_id string, depth int")
     issues = spark.createDataFrame([("x", 1.5, True), ("y", None, None), ("z", 9.0, False)], "issue_id string, weight double, core boolean")

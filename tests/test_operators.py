@@ -271,17 +271,63 @@ def test_components(spark):
     assert {tuple(r) for r in connected_components(edges).collect()} == {(n, 5) for n in (5, 6, 7, 8, 9)} | {(1, 1), (2, 1)}
 
 
-def test_density_clusters(spark):
-    import random
+def density_by_all_pairs(rows, cosine, least, least_cluster):
+    """The clusters as sets of ids, from all cosines at once."""
+    import numpy as np
+
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = x @ x.T
+    near = cosines >= cosine
+    core = near.sum(axis=1) >= least
+    of = np.full(len(rows), -1)
+    for i in np.flatnonzero(core):
+        front = [i] if of[i] < 0 else []
+        while front:
+            of[front] = i
+            front = np.flatnonzero(near[front].any(axis=0) & core & (of < 0)).tolist()
+    for i in np.flatnonzero(~core):
+        best = max(np.flatnonzero(core), key=lambda j: cosines[i, j], default=None)
+        of[i] = of[best] if best is not None and near[i, best] else -1
+    groups = [frozenset(rows[i][0] for i in np.flatnonzero(of == c)) for c in set(of.tolist()) - {-1}]
+    return {g for g in groups if len(g) >= least_cluster}
+
+
+@pytest.mark.parametrize("room, largest", [(250, 2000), (20, 60)])
+def test_density_clusters(spark, monkeypatch, room, largest):
+    import numpy as np
+
+    from quillgraph.operators import cluster
 
+    monkeypatch.setattr(cluster, "ROOM", room)
+    monkeypatch.setattr(cluster, "LARGEST", largest)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    x = [centres[i % 12] + rng.normal(size=16) * 0.18 for i in range(400)] + list(rng.normal(size=(150, 16))) + [centres[0]] * 100 + [centres[1] * (1 + i / 200) for i in range(150)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    expected = density_by_all_pairs(rows, 0.9, 3, 6)
+    odd = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (None, rows[0][1]), (2004, [None] * 16), (2005, [1.0] * 15)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("cluster", F.lit("x"))
+    got = cluster.density_clusters(table, 16, least=3).collect()
+    of = {r["vec_id"]: r["cluster"] for r in got}
+    assert len(got) == len(rows) + len(odd) and {of[i] for i in (*range(2000, 2006), None)} == {-1}
+    found = {c: {i for i in of if of[i] == c} for c in set(of.values()) - {-1}}
+    assert all(min(g) == c for c, g in found.items()) and len(expected) >= 10
+    # Nothing joins what all pairs keep apart, and at least 0.9 of each cluster's members are found together.
+    assert all(any(g <= e for e in expected) for g in found.values())
+    kept = sum(max((len(g & e) for g in found.values()), default=0) for e in expected)
+    assert kept >= 0.9 * sum(len(e) for e in expected)
+
+
+def test_density_clusters_of_few_or_no_vectors(spark):
     from quillgraph.operators import cluster
 
-    rng = random.Random(1)
-    centre = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(2)]
-    rows = [(i, [c + rng.gauss(0, 0.001) for c in centre[i % 2]]) for i in range(40)] + [(100 + i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3)]
-    got = {r["vec_id"]: r["cluster"] for r in cluster.density_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 8).collect()}
-    assert len({got[i] for i in range(0, 40, 2)}) == 1 and len({got[i] for i in range(1, 40, 2)}) == 1 and got[0] != -1
-    assert cluster.cluster_sizes(cluster.density_clusters(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), 8)).first()["cluster"] == -1
+    table = lambda *rows: spark.createDataFrame(list(rows), "vec_id long, embedding array<double>")
+    assert cluster.density_clusters(table(), 2).count() == 0
+    assert cluster.cluster_sizes(cluster.density_clusters(table((1, [1.0, 0.0]), (2, [1.0, 0.0])), 2)).collect() == [(-1, 2)]
+    # An id may repeat with several vectors.
+    got = cluster.density_clusters(table((5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 2.0]), (7, [0.1, 2.0])), 2, least_cluster=3).collect()
+    assert sorted((r["vec_id"], r["cluster"]) for r in got) == [(5, -1), (5, 5), (6, 5), (7, 5)]
 
 
 def test_serial_venues_and_junk_titles(spark):

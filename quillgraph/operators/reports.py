@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
 
 
@@ -42,3 +43,36 @@ def books(works: DataFrame, parents: DataFrame) -> DataFrame:
     linked = works.where("work_type = 'book-chapter'").join(parents.select("key", F.lit(True).alias("linked")), "key", "left")
     chapters = linked.groupBy(F.when(F.col("linked"), "chapter with parent").otherwise("chapter").alias("kind")).agg(F.count("*").alias("n"))
     return kinds.unionByName(chapters)
+
+
+def best_per_title(rows: DataFrame, by_score: bool = True) -> DataFrame:
+    """One row for each lower-case title: the best text source, then (unless by source alone) the score, then the first.
+
+    rows: title, text_source, score, ord. A null title is empty, a null score 0.
+    """
+    worth = [N.source_rank("text_source").alias("source"), *([F.coalesce("score", F.lit(0)).alias("score")] if by_score else [])]
+    keyed = rows.withColumn("_title", F.lower(F.trim(F.coalesce("title", F.lit("")))))
+    # An aggregate combines before the shuffle, so a title that many rows share is no heavy group.
+    best = keyed.groupBy("_title").agg(F.max(F.struct(*worth, (-F.col("ord")).alias("first"))).alias("best")).select((-F.col("best.first")).alias("ord"), F.col("_title"))
+    return keyed.join(best, ["_title", "ord"], "left_semi").drop("_title")
+
+
+def most_cited(rows: DataFrame, cited: str, k: int) -> DataFrame:
+    """The k rows cited most, a missing count as 0; the rows' own order breaks ties."""
+    return rows.orderBy(F.coalesce(cited, F.lit(0)).desc(), "ord").limit(k)
+
+
+def distinct_openings(notes: DataFrame, length: int = 80) -> DataFrame:
+    """notes (doc_id, pos, body): in each text the first of the notes that open alike."""
+    first = notes.groupBy("doc_id", F.substring("body", 1, length).alias("opening")).agg(F.min(F.struct("pos", "body")).alias("n"))
+    return first.select("doc_id", "n.pos", "n.body")
+
+
+def scoring_order() -> list:
+    """Works to score: by score, then title."""
+    return [F.coalesce("score", F.lit(0)).desc(), F.col("title"), F.col("key")]
+
+
+def overlooked_order() -> list:
+    """Absent texts: the most cited together first, then the latest."""
+    return [F.col("cocite").desc(), F.coalesce("year", F.lit(0)).desc(), F.col("ident")]

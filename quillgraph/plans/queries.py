@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
+from quillgraph.functions import render as R
 from quillgraph.operators import audit, citedness, cluster, enrich, expand, leverage, match, reports, resolve, scoring, worklists
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
@@ -608,6 +609,81 @@ def _(v):
     return v("pages").select("page_id", X.visible_text("html").alias("body"))
 
 
+def _holds(words, text):
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _repaired(text):
+    for bad, good in R.LIGATURES:
+        text = f"replace({text}, '{bad}', '{good}')"
+    return text
+
+
+TITLE_VENUE = "lower(concat(title, ' ', venue))"
+
+
+@query("subject_hits", f"SELECT key, {_holds(R.CITING_SUBJECTS, TITLE_VENUE)} AS citing, {_holds(R.REPORT_SUBJECTS, 'lower(abstract)')} AS reported FROM works", "works")
+def _(v):
+    return v("works").select("key", R.holds_any(R.CITING_SUBJECTS, "title", "venue").alias("citing"), R.holds_any(R.REPORT_SUBJECTS, "abstract").alias("reported"))
+
+
+@query("repaired_texts", f"SELECT doc_id, {_repaired('text')} AS text FROM documents")
+def _(v):
+    return v("documents").select("doc_id", R.fix_ligatures("text").alias("text"))
+
+
+@query("term_clouds", f"""WITH w AS (SELECT key, regexp_extract_all(lower(title), '[a-z]+') AS t FROM works),
+p AS (SELECT key, [x for x in t if length(x) > 6] AS a, [x for x in t if length(x) BETWEEN 4 AND 6] AS b, [x for x in t if length(x) < 4] AS c FROM w)
+SELECT key, concat_ws(chr(10), {", ".join(f"CASE WHEN len({c}) > 0 THEN concat('{label}: ', array_to_string({c}, ', ')) END" for c, label in zip("abc", R.TIERS))}) AS cloud FROM p""", "works")
+def _(v):
+    words = F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), 0)
+    tier = lambda low, high: F.filter(words, lambda x: F.length(x).between(low, high))
+    return v("works").select("key", R.term_cloud(tier(7, 2**30), tier(4, 6), tier(1, 3)).alias("cloud"))
+
+
+@query("citation_lines", """SELECT key, concat('  - **', CASE WHEN title = '' THEN '(no title)' ELSE title END, '** — ', concat_ws(', ', author1, coalesce(author2, '?')), ' (', year, ')',
+ CASE WHEN coalesce(venue, '') <> '' THEN concat(', *', venue, '*') ELSE '' END, CASE WHEN citations <> 0 THEN concat(' [cited by ', citations, ']') ELSE '' END,
+ CASE WHEN doi IS NOT NULL THEN concat('  ', chr(10), '    DOI: ', doi) ELSE '' END) AS line FROM works""", "works")
+def _(v):
+    return v("works").select("key", R.citation_line("title", F.array("author1", "author2"), "year", "venue", "citations", "doi").alias("line"))
+
+
+@query("title_best", f"""WITH {LEV}, {ROWS}, b AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY {SRC_RANK} DESC, coalesce(score, 0) DESC, ord) AS p,
+ row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY {SRC_RANK} DESC, ord) AS q FROM lrows)
+SELECT 'score' AS variant, key, title FROM b WHERE p = 1 UNION ALL SELECT 'source', key, title FROM b WHERE q = 1""", "works", "relevance", "depths", "issues")
+def _(v):
+    rows = lev_rows(v).select("key", "ord", "title", "text_source", "score")
+    kept = lambda name, by: reports.best_per_title(rows, by).select(F.lit(name).alias("variant"), "key", "title")
+    return kept("score", True).unionByName(kept("source", False))
+
+
+@query("most_cited", "SELECT key, ord, openalex FROM (SELECT w.key, w.ord, c.openalex, row_number() OVER (ORDER BY coalesce(c.openalex, 0) DESC, w.ord) AS p FROM works w LEFT JOIN (SELECT key, max(openalex) AS openalex FROM counts GROUP BY key) c ON w.key = c.key) WHERE p <= 50", "works", "counts")
+def _(v):
+    counts = v("counts").groupBy("key").agg(F.max("openalex").alias("openalex"))
+    return reports.most_cited(v("works").select("key", "ord").join(counts, "key", "left"), "openalex", 50)
+
+
+@query("distinct_openings", """WITH n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(body, 1, 80) ORDER BY pos) AS p FROM n) SELECT doc_id, CAST(pos AS INTEGER) AS pos, body FROM r WHERE p = 1""")
+def _(v):
+    return reports.distinct_openings(v("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "body")))
+
+
+@query("scoring_queue", "SELECT w.key, w.title, r.score FROM works w JOIN relevance r ON w.key = r.key WHERE r.score >= 3 ORDER BY r.score DESC, w.title, w.key", "works", "relevance")
+def _(v):
+    return v("works").select("key", "title").join(v("relevance").where("score >= 3").select("key", "score"), "key").orderBy(*reports.scoring_order())
+
+
+@query("overlooked_texts", f"""WITH {REFS}, c AS (SELECT doi, count(DISTINCT source_paper) AS cocite, min(year) AS year, min(hop) AS hop FROM refs JOIN (SELECT ord AS eo, hop FROM edges) e ON e.eo = refs.ref_id WHERE gone GROUP BY doi)
+SELECT concat('doi:', doi) AS ident, cocite, year, CASE WHEN hop = 2 THEN 'W2' ELSE 'W1' END AS wave FROM c WHERE cocite >= 2 ORDER BY cocite DESC, year DESC, ident""", "works", "edges")
+def _(v):
+    absent = match.absent_references(references(v), v("works"))
+    hops = v("edges").select(F.col("ord").alias("ref_id"), "hop").join(absent.select("ref_id", N.reference_identity("doi", "title", "year").alias("ident")), "ref_id")
+    waves = hops.groupBy("ident").agg(F.min("hop").cast("string").alias("stem"))
+    rows = match.cocited(absent, 2).join(waves, "ident")
+    return rows.select("ident", "cocite", "year", R.wave("stem", ("2",)).alias("wave")).orderBy(*reports.overlooked_order())
+
+
 def _reader(spark, sf_dir):
     found: dict = {}
 

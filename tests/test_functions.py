@@ -176,3 +176,19 @@ def test_listing_pages(spark):
     html = "<div class='entry'><span class='articleTitle'>On Blame</span><span class='name'>Smith, J</span> 1999 <a href='/go?u=https%3A%2F%2Fdoi.org%2F10.1234%2FAb'>x</a><div class='abstract'>Text</div></div>"
     r = X.listing_entries(spark.createDataFrame([("p", "<html>" + html * 2)], "page_id string, html string")).collect()
     assert len(r) == 2 and tuple(r[0])[2:] == ("On Blame", "Smith, J", 1999, "10.1234/ab", "Text")
+
+
+def test_rendered_text(spark):
+    from quillgraph.functions import render as R
+
+    one = lambda column: spark.range(1).select(column.alias("x")).first()["x"]
+    lit, none = F.lit, F.lit(None).cast("string")
+    assert one(R.holds_any(R.CITING_SUBJECTS, lit("On Tortious acts"), none)) and not one(R.holds_any(R.CITING_SUBJECTS, lit("On"), lit("luck")))
+    # A phrase may run over from one text to the next.
+    assert one(R.holds_any(("criminal law",), lit("Criminal"), lit("Law")))
+    assert one(R.fix_ligatures(lit("a specibc debnition, akrmative"))) == "a specific definition, affirmative" and one(R.fix_ligatures(none)) is None
+    words = lambda *w: F.array(*[lit(x) for x in w]) if w else F.array().cast("array<string>")
+    assert one(R.term_cloud(words("a", "b"), words(), words("c"))) == f"{R.TIERS[0]}: a, b\n{R.TIERS[2]}: c"
+    assert one(R.term_cloud(words(), F.lit(None).cast("array<string>"), words())) == ""
+    assert one(R.citation_line(lit("T"), words("A", "", "C", "D", "E"), lit(2001), lit("V"), lit(3), lit("10.1/x"))) == "  - **T** — A, ?, C, D (2001), *V* [cited by 3]  \n    DOI: 10.1/x"
+    assert one(R.citation_line(none, words(), F.lit(None).cast("int"), none, lit(0), none)) == "  - **(no title)** —  (?)"

@@ -344,3 +344,14 @@ def test_serial_venues_and_junk_titles(spark):
     rows = [(str(i), t, "", " ", i == 10) for i, t in enumerate(titles)] + [("n", "5 names", "Ann", None, False)]
     got = {r["key"]: r["kind"] for r in authorless(spark.createDataFrame(rows, "key string, title string, author1 string, author2 string, junk_title boolean")).collect()}
     assert got == {str(i): "recover" if i in (8, 9) else "junk" for i in range(len(titles))}
+
+
+def test_best_per_title_and_openings(spark):
+    from quillgraph.operators import reports
+
+    rows = spark.createDataFrame([(1, "A", "title", 5), (2, " a", "full", None), (3, "a ", "full", 4), (4, "B", "abstract", 1), (5, "b", "abstract", 1), (6, None, None, None)], "ord long, title string, text_source string, score int")
+    assert {r["ord"] for r in reports.best_per_title(rows).collect()} == {3, 4, 6}
+    assert {r["ord"] for r in reports.best_per_title(rows, by_score=False).collect()} == {2, 4, 6}
+    assert [r["ord"] for r in reports.most_cited(rows, "score", 3).collect()] == [1, 3, 4]
+    notes = spark.createDataFrame([(1, 0, "x" * 80 + "a"), (1, 1, "x" * 80 + "b"), (1, 2, "x" * 79), (2, 0, "x" * 80 + "b")], "doc_id long, pos int, body string")
+    assert {(r["doc_id"], r["pos"]) for r in reports.distinct_openings(notes).collect()} == {(1, 0), (1, 2), (2, 0)}

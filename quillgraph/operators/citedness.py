@@ -57,3 +57,18 @@ def rescue_candidates(relevance: DataFrame, edges: DataFrame, levs: DataFrame, l
     """Works parked by the gate that the corpus leans on: (key, weighted, raw)."""
     parked = relevance.where("reason = 'failed keyword pre-filter'").select("key")
     return node_citedness(edges, levs).join(parked, "key", "left_semi").where(F.col("weighted") >= least)
+
+
+def fold_twins(parked: DataFrame, canonical: DataFrame, relevance: DataFrame, least: int = 4) -> DataFrame:
+    """parked (key, weighted) without twins that another work stands for.
+
+    canonical: (key, canon), where a work has one. Its own canonical work always stays. A twin goes if its
+    canonical work scores `least` or more, or if one of the same canonical work comes before it, by weight and then key.
+    """
+    held = parked.join(canonical.groupBy("key").agg(F.min("canon").alias("canon")), "key", "left").withColumn("canon", F.coalesce("canon", "key"))
+    turn = F.struct((-F.col("weighted")).alias("w"), F.col("key").alias("k"))
+    first = held.groupBy("canon").agg(F.min(turn)["k"].alias("first"))
+    scores = relevance.groupBy(F.col("key").alias("canon")).agg(F.max("score").alias("canon_score"))
+    rows = held.join(first, "canon").join(scores, "canon", "left")
+    stays = (F.col("canon") == F.col("key")) | ((F.coalesce("canon_score", F.lit(0)) < least) & (F.col("first") == F.col("key")))
+    return rows.where(stays).select(*parked.columns)

@@ -619,6 +619,59 @@ def _repaired(text):
     return text
 
 
+# Services as tables derived from the works: some lack an id, some answers are blank, some missing.
+ASKED = """asked AS (SELECT key, ord, title, surname, given, abstract, doi, CASE WHEN year % 2 = 0 THEN oa_id END AS oa_id, CASE WHEN s2_id <> 'None' THEN s2_id END AS s2_id, year, citations FROM works),
+oa AS (SELECT id, max(n) AS n, max(a) AS a FROM (SELECT oa_id AS id, CASE WHEN citations % 3 = 0 THEN surname ELSE '' END AS n, CASE WHEN citations % 3 = 0 THEN substr(abstract, 1, 20) END AS a FROM asked WHERE oa_id IS NOT NULL AND citations % 5 < 3
+ UNION ALL SELECT concat('doi:', lower(doi)), given, CASE WHEN citations % 4 = 1 THEN 'by doi' END FROM asked WHERE doi IS NOT NULL AND citations % 7 = 1) GROUP BY id),
+cr AS (SELECT lower(doi) AS id, max(concat(given, ' ', surname)) AS n FROM asked WHERE doi IS NOT NULL AND citations % 4 = 0 GROUP BY 1),
+s2 AS (SELECT id, max(a) AS a FROM (SELECT concat('doi:', lower(doi)) AS id, CASE WHEN citations % 2 = 0 THEN 'from s2' END AS a FROM asked WHERE doi IS NOT NULL AND citations % 6 < 2
+ UNION ALL SELECT concat('s2:', s2_id), 'from its own id' FROM asked WHERE s2_id IS NOT NULL) GROUP BY id)"""
+
+
+def asked(v):
+    w = v("works")
+    blank = F.when(F.col("s2_id") != "None", F.col("s2_id"))
+    rows = w.select("key", "ord", "title", "surname", "given", "abstract", "doi", F.when(F.col("year") % 2 == 0, F.col("oa_id")).alias("oa_id"), blank.alias("s2_id"), "year", "citations")
+    third, doi = F.col("citations") % 3 == 0, F.lower("doi")
+    top = lambda t: t.groupBy("id").agg(F.max("n").alias("n"), F.max("a").alias("a"))
+    by_id = rows.where("oa_id IS NOT NULL AND citations % 5 < 3").select(F.col("oa_id").alias("id"), F.when(third, F.col("surname")).otherwise("").alias("n"), F.when(third, F.substring("abstract", 1, 20)).alias("a"))
+    by_doi = rows.where("doi IS NOT NULL AND citations % 7 = 1").select(F.concat(F.lit("doi:"), doi).alias("id"), F.col("given").alias("n"), F.when(F.col("citations") % 4 == 1, "by doi").alias("a"))
+    cr = rows.where("doi IS NOT NULL AND citations % 4 = 0").groupBy(doi.alias("id")).agg(F.max(F.concat("given", F.lit(" "), "surname")).alias("n"))
+    s2 = rows.where("doi IS NOT NULL AND citations % 6 < 2").select(F.concat(F.lit("doi:"), doi).alias("id"), F.lit("").alias("n"), F.when(F.col("citations") % 2 == 0, "from s2").alias("a"))
+    own = rows.where("s2_id IS NOT NULL").select(F.concat(F.lit("s2:"), "s2_id").alias("id"), F.lit("").alias("n"), F.lit("from its own id").alias("a"))
+    return rows, top(by_id.unionByName(by_doi)), cr, top(s2.unionByName(own))
+
+
+@query("author_lanes", f"""WITH {ASKED}, r AS (SELECT w.key, {JUNK} AS junk, nullif(trim(o.n), '') AS o, nullif(trim(c.n), '') AS c FROM asked w
+ LEFT JOIN oa o ON o.id = coalesce(w.oa_id, concat('doi:', nullif(lower(w.doi), ''))) LEFT JOIN cr c ON c.id = lower(w.doi))
+SELECT key, CASE WHEN junk THEN 'junk' WHEN coalesce(o, c) IS NOT NULL THEN 'recovered' ELSE 'stuck' END AS lane, CASE WHEN NOT junk THEN coalesce(o, c) END AS authors,
+ CASE WHEN NOT junk THEN CASE WHEN o IS NOT NULL THEN 'openalex' WHEN c IS NOT NULL THEN 'crossref' END END AS source FROM r""", "works")
+def _(v):
+    rows, oa, cr, _s2 = asked(v)
+    names = lambda t: t.select("id", F.array("n", F.lit(" ")).alias("value"))
+    found = enrich.author_lanes(rows, names(oa), names(cr), names(cr.limit(0)), worklists.junk_title())
+    return found.withColumn("authors", F.array_join("authors", ", "))
+
+
+@query("rescue_abstracts", f"""WITH {ASKED} SELECT w.key, coalesce(nullif(a.a, ''), nullif(b.a, ''), c.a, CASE WHEN c.id IS NULL THEN d.a END) AS value,
+ CASE WHEN coalesce(nullif(a.a, ''), nullif(b.a, '')) IS NOT NULL THEN 'openalex' WHEN coalesce(c.a, CASE WHEN c.id IS NULL THEN d.a END) IS NOT NULL THEN 'semantic_scholar' END AS source
+FROM asked w LEFT JOIN oa a ON a.id = w.oa_id LEFT JOIN oa b ON b.id = concat('doi:', nullif(lower(w.doi), '')) LEFT JOIN s2 c ON c.id = concat('doi:', nullif(lower(w.doi), '')) LEFT JOIN s2 d ON d.id = concat('s2:', nullif(w.s2_id, ''))""", "works")
+def _(v):
+    rows, oa, _cr, s2 = asked(v)
+    answers = lambda t: t.select("id", F.col("a").alias("value"))
+    return enrich.rescue_abstracts(rows, answers(oa), answers(s2))
+
+
+@query("folded_twins", """WITH p AS (SELECT key, min(citations) AS weighted FROM works GROUP BY key), c AS (SELECT key, min(canon) AS canon FROM (SELECT key, min(key) OVER (PARTITION BY surname, year) AS canon FROM works) GROUP BY key),
+h AS (SELECT p.key, weighted, canon, row_number() OVER (PARTITION BY canon ORDER BY weighted DESC, p.key) AS n FROM p JOIN c ON p.key = c.key), r AS (SELECT key, max(score) AS score FROM relevance GROUP BY key)
+SELECT h.key, h.weighted FROM h LEFT JOIN r ON h.canon = r.key WHERE h.canon = h.key OR (coalesce(r.score, 0) < 4 AND n = 1)""", "works", "relevance")
+def _(v):
+    # The smallest key of a surname and year stands in for the canonical work.
+    w = v("works")
+    canonical = w.select("key", "surname", "year").join(w.groupBy("surname", "year").agg(F.min("key").alias("canon")), ["surname", "year"])
+    return citedness.fold_twins(w.groupBy("key").agg(F.min("citations").alias("weighted")), canonical, v("relevance"))
+
+
 TITLE_VENUE = "lower(concat(title, ' ', venue))"
 
 

@@ -355,3 +355,28 @@ def test_best_per_title_and_openings(spark):
     assert [r["ord"] for r in reports.most_cited(rows, "score", 3).collect()] == [1, 3, 4]
     notes = spark.createDataFrame([(1, 0, "x" * 80 + "a"), (1, 1, "x" * 80 + "b"), (1, 2, "x" * 79), (2, 0, "x" * 80 + "b")], "doc_id long, pos int, body string")
     assert {(r["doc_id"], r["pos"]) for r in reports.distinct_openings(notes).collect()} == {(1, 0), (1, 2), (2, 0)}
+
+
+def test_author_lanes_and_rescue_chain(spark):
+    from quillgraph.operators.worklists import junk_title
+
+    nodes = spark.createDataFrame(
+        [("a", "W1", "10.1/A", None, "On blameless wrongs"), ("b", None, "https://doi.org/10.1/b", "S2", "On luck and law"), ("c", "W3", "10.1/c", "S3", "On acts of will"), ("d", None, None, None, "On omissions"), ("e", "W1", None, "S5", "12-15)"), ("f", " ", "", "S6", "On harms done")],
+        "key string, oa_id string, doi string, s2_id string, title string",
+    )
+    names = lambda *rows: spark.createDataFrame(list(rows), "id string, value array<string>")
+    oa = names(("W1", [" ", ""]), ("W1", [" Ann Lee ", ""]), ("doi:10.1/b", None), ("doi:10.1/c", ["Wrong"]), (None, ["Nobody"]))
+    got = {r["key"]: (r["lane"], r["authors"], r["source"]) for r in enrich.author_lanes(nodes, oa, names(("10.1/b", ["Bo Kim"])), names(("10.1/b", ["x"]), ("10.1/c", ["Cy Poe"])), junk_title()).collect()}
+    assert got == {"a": ("recovered", ["Ann Lee"], "openalex"), "b": ("recovered", ["Bo Kim"], "crossref"), "c": ("recovered", ["Cy Poe"], "semantic_scholar"), "d": ("stuck", None, None), "e": ("junk", None, None), "f": ("stuck", None, None)}
+    text = lambda *rows: spark.createDataFrame(list(rows), "id string, value string")
+    s2 = text(("doi:10.1/b", None), ("s2:S2", "hidden by the record of its DOI"), ("s2:S3", "from s2"), ("s2:S5", "five"), ("s2:S6", " "))
+    got = {r["key"]: (r["value"], r["source"]) for r in enrich.rescue_abstracts(nodes, text(("W1", ""), ("doi:10.1/a", "by doi")), s2).collect()}
+    assert got == {"a": ("by doi", "openalex"), "b": (None, None), "c": ("from s2", "semantic_scholar"), "d": (None, None), "e": ("five", "semantic_scholar"), "f": (None, None)}
+    assert enrich.rescue_abstracts(nodes.limit(0), text(), text()).count() == 0
+
+
+def test_twins_fold_into_their_canonical_work(spark):
+    parked = spark.createDataFrame([("a", 9.0), ("b", 12.0), ("c", 12.0), ("d", 8.0), ("e", 8.0), ("f", 30.0)], "key string, weighted double")
+    canon = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "x"), ("e", "y"), ("f", "z")], "key string, canon string")
+    known = spark.createDataFrame([("x", 4), ("y", 3)], "key string, score int")
+    assert {r["key"] for r in citedness.fold_twins(parked, canon, known).collect()} == {"a", "b", "e", "f"}

@@ -12,6 +12,7 @@ from quillgraph.llm.quality_rules import quality_rules
 from quillgraph.llm.secret_scan import scan_secrets
 from quillgraph.llm.suffix_dedup import suffix_dedup
 from quillgraph.llm.warc import archive_round_trip
+from quillgraph.llm.whitening import whiten_embeddings
 
 
 def _docs(spark, sf_dir):
@@ -58,6 +59,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(_docs(spark, sf_dir))
 
 
+def op12_whitening(spark, sf_dir):
+    return whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL = {

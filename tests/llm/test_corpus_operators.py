@@ -622,7 +622,7 @@ def test_jaccard_stage_keeps_other_texts_of_a_repeated_id(spark):
 def test_registered_queries_have_names():
     from quillgraph.llm import entries
 
-    assert [n.split("_")[0] for n in entries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in entries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(entries.ORACLE_SQL) <= set(entries.QUERIES)
 
 

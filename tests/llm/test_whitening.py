@@ -23,7 +23,7 @@ def check(rows, got, most=32):
     cov = c.T @ c / n
     e, v = np.linalg.eigh(cov)
     e, v = e[::-1], v[:, ::-1]
-    k = min(most, int((e > 1e-18 * e[0]).sum()) if e[0] > 0 else 0)
+    k = min(most, int((e > 1e-12 * e[0]).sum()) if e[0] > 0 else 0)
     assert len(got) == n * k
     want_dev = sorted((i if i is not None else -(10**9), int(q)) for (i, _), q in zip(kept, dev))
     assert sorted((r.vec_id if r.vec_id is not None else -(10**9), r.deviation) for r in got if r.component == 1) == want_dev

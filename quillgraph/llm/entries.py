@@ -7,6 +7,7 @@ from quillgraph.llm.jaccard_join import jaccard_components
 from quillgraph.llm.language_id import identify_languages
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.packing import pack_documents
+from quillgraph.llm.periodic_runs import run_report
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import quality_rules
 from quillgraph.llm.secret_scan import scan_secrets
@@ -59,6 +60,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(_docs(spark, sf_dir))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return run_report(_docs(spark, sf_dir))
+
+
 def op12_whitening(spark, sf_dir):
     return whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_whitening": op12_whitening,
 }
 

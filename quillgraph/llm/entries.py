@@ -8,6 +8,7 @@ from quillgraph.llm.language_id import identify_languages
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.packing import pack_documents
 from quillgraph.llm.periodic_runs import run_report
+from quillgraph.llm.pii import personal_data_report
 from quillgraph.llm.quality_classifier import classify_quality
 from quillgraph.llm.quality_rules import quality_rules
 from quillgraph.llm.secret_scan import scan_secrets
@@ -68,6 +69,10 @@ def op12_whitening(spark, sf_dir):
     return whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_pii(spark, sf_dir):
+    return personal_data_report(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -81,6 +86,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_whitening": op12_whitening,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
@@ -51,6 +51,64 @@ def snowball(edges: DataFrame, seeds: DataFrame, passing: DataFrame, hops: int,
     return nodes, economics
 
 
+LOG = "part int, epoch int, hop int, seeds long, new long, passed long"
+STATE = "key string, hop int, epoch int, scored boolean"
+
+
+def _last_part(spark: SparkSession, store: str):
+    """The last complete part of a crawl's log, or None: a part counts once its line in the log is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/log")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(LOG).parquet(f"{store}/log/*").orderBy(F.desc("part")).first()
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, passing: DataFrame, hops: int, store: str, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+    """A snowball that keeps its state in a folder, goes on from its last complete hop, and starts anew from new seeds.
+
+    Every hop is a part: the works that it found (key, hop, epoch, and whether they pass), and
+    then one line of the log (part, epoch, hop, seeds, new, passed). A part without its line,
+    left by a killed run, is written again. Called again with more hops, the crawl expands the
+    passing works of the last hop. Called with seeds that it does not know, it begins another
+    epoch: they come in at hop 0 and are the only frontier, and hops are counted from 1 again.
+    Seeds are expanded whether they pass or not. Returns (state, log).
+    """
+    spark = edges.sparkSession
+    last = _last_part(spark, store)
+    part, epoch, hop = (last.part, last.epoch, last.hop) if last else (-1, -1, 0)
+    passes = passing.select("key").distinct().withColumn("scored", F.lit(True))
+
+    def known() -> DataFrame:
+        paths = [f"{store}/works/part={p}" for p in range(part + 1)]
+        return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+    def commit(found: DataFrame, seeds_: int) -> DataFrame:
+        nonlocal part
+        part += 1
+        marked = found.select("key").join(passes, "key", "left").select("key", F.lit(hop).alias("hop"), F.lit(epoch).alias("epoch"), F.coalesce("scored", F.lit(False)).alias("scored"))
+        marked.write.mode("overwrite").parquet(f"{store}/works/part={part}")
+        written = spark.read.schema(STATE).parquet(f"{store}/works/part={part}")
+        n = written.agg(F.count("*").alias("n"), F.count_if("scored").alias("p")).first()
+        line = spark.createDataFrame([(part, epoch, hop, seeds_, n.n, n.p)], LOG)
+        line.coalesce(1).write.mode("overwrite").parquet(f"{store}/log/part={part}")
+        return written
+
+    fresh = seeds.select("key").distinct().join(known().select("key"), "key", "left_anti")
+    if fresh.limit(1).count():
+        epoch, hop = epoch + 1, 0
+        frontier = commit(fresh, 0)
+    else:
+        frontier = known().where((F.col("hop") == hop) & F.col("scored")) if hop else known().where((F.col("hop") == 0) & (F.col("epoch") == epoch))
+    while hop < hops:
+        n_seeds = frontier.count()
+        if not n_seeds:
+            break
+        hop += 1
+        found = neighbors(frontier, edges, direction).select("key").distinct().join(known().select("key"), "key", "left_anti")
+        frontier = commit(found, n_seeds).where("scored")
+    return known(), spark.read.schema(LOG).parquet(f"{store}/log/*") if part >= 0 else spark.createDataFrame([], LOG)
+
+
 def forecast(economics: DataFrame, rate_per_1000: float = 0.0) -> DataFrame:
     """Fan-out, pass rate and what the next hop would cost, per hop. economics: hop, seeds, new, passed."""
     fanout = F.col("new") / F.col("seeds")

@@ -12,10 +12,10 @@ from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
 from quillgraph.functions import predicates as P
 from quillgraph.functions import render as R
-from quillgraph.operators import audit, citedness, cluster, enrich, expand, leverage, match, reports, resolve, scoring, worklists
+from quillgraph.operators import audit, citedness, cluster, enrich, expand, hierarchy, leverage, match, reports, resolve, scoring, worklists
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
-from quillgraph.sources.scratch import materialize
+from quillgraph.sources.scratch import materialize, scratch_path
 
 QUERIES: dict[str, tuple[tuple[str, ...], object, str | None]] = {}
 
@@ -352,6 +352,21 @@ def _(v):
     return cluster.density_clusters(v("embeddings"), dimensions)
 
 
+@query("density_hierarchy", None)
+def _(v):
+    dimensions = v("embeddings").select(F.max(F.size("embedding"))).first()[0] or 1
+    return hierarchy.density_hierarchy(v("embeddings"), dimensions)
+
+
+# Six clusters of different density made of the given vectors: each keeps 3, 6, ... 18 % of itself around an axis of its own.
+@query("planted_hierarchy", "SELECT min(vec_id) AS cluster, count(*) AS n FROM embeddings GROUP BY vec_id % 6")
+def _(v):
+    dimensions = v("embeddings").select(F.max(F.size("embedding"))).first()[0] or 1
+    group = F.pmod("vec_id", F.lit(6))
+    planted = F.transform("embedding", lambda x, i: (0.03 * (group + 1)) * x + F.when(i == 7 * group, 1.0).otherwise(0.0))
+    return cluster.cluster_sizes(hierarchy.density_hierarchy(v("embeddings").select("vec_id", planted.alias("embedding")), dimensions))
+
+
 @query("issue_lists", "SELECT d.issue_id, d.key, d.depth, coalesce(r.score, 0) AS score, w.title FROM depths d JOIN works w ON d.key = w.key LEFT JOIN relevance r ON d.key = r.key WHERE d.depth >= 1", "works", "depths", "relevance")
 def _(v):
     return worklists.issue_lists(v("depths"), v("works"), v("relevance"))
@@ -525,6 +540,27 @@ def _(v):
     return expand.snowball(edges, v("works").where("is_seed"), passing, 2, materialize)[0]
 
 
+@query("resumed_snowball", REACH.replace("RECURSIVE ", "") + """ SELECT h.key, h.hop, 0 AS epoch, coalesce(p.key IS NOT NULL, FALSE) AS scored
+FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) h LEFT JOIN pass p ON h.key = p.key""", "works", "edges", "relevance")
+def _(v):
+    edges, works = materialize(v("edges").select("src", "dst", "ord"), "edges"), v("works")
+    passing, store = materialize(v("relevance").where("score >= 3").select("key"), "passing"), scratch_path(works.sparkSession, "crawl")
+    expand.crawl(edges, works.where("is_seed"), passing, 1, store)
+    return expand.crawl(edges, works.where("is_seed"), passing, 2, store)[0]
+
+
+@query("reseeded_snowball", """WITH adj AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), pass AS (SELECT key FROM relevance WHERE score >= 3),
+h0 AS (SELECT key FROM works WHERE is_seed), h1 AS (SELECT DISTINCT b AS key FROM h0 JOIN adj ON h0.key = adj.a WHERE b NOT IN (SELECT key FROM h0)),
+k1 AS (SELECT key FROM h0 UNION SELECT key FROM h1), n0 AS (SELECT key FROM works WHERE ord % 50 IN (0, 7) AND key NOT IN (SELECT key FROM k1)),
+n1 AS (SELECT DISTINCT b AS key FROM n0 JOIN adj ON n0.key = adj.a WHERE b NOT IN (SELECT key FROM k1) AND b NOT IN (SELECT key FROM n0))
+SELECT x.key, x.hop, x.epoch, p.key IS NOT NULL AS scored FROM (SELECT key, 0 AS hop, 0 AS epoch FROM h0 UNION ALL SELECT key, 1, 0 FROM h1 UNION ALL SELECT key, 0, 1 FROM n0 UNION ALL SELECT key, 1, 1 FROM n1) x LEFT JOIN pass p ON x.key = p.key""", "works", "edges", "relevance")
+def _(v):
+    edges, works = materialize(v("edges").select("src", "dst", "ord"), "edges"), v("works")
+    passing, store = materialize(v("relevance").where("score >= 3").select("key"), "passing"), scratch_path(works.sparkSession, "crawl")
+    expand.crawl(edges, works.where("is_seed"), passing, 1, store)
+    return expand.crawl(edges, works.where("ord % 50 IN (0, 7)"), passing, 1, store)[0]
+
+
 @query("expand_once", "SELECT e.src AS seed, e.dst AS key, 3 AS hop, w.hop > 2 AS is_new FROM edges e JOIN works s ON e.src = s.key JOIN works w ON e.dst = w.key WHERE s.is_seed UNION ALL SELECT e.dst, e.src, 3, w.hop > 2 FROM edges e JOIN works s ON e.dst = s.key JOIN works w ON e.src = w.key WHERE s.is_seed", "works", "edges")
 def _(v):
     return expand.expand_once(v("edges"), v("works").where("is_seed"), v("works").where("hop <= 2"), 3)

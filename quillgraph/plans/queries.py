@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
+from quillgraph.functions import pages as G
 from quillgraph.functions import predicates as P
 from quillgraph.functions import render as R
 from quillgraph.operators import audit, citedness, cluster, enrich, expand, hierarchy, leverage, match, reports, resolve, scoring, worklists
@@ -635,6 +636,26 @@ def _(v):
     return X.detect_format(v("documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+def misread(x: str) -> str:
+    for bad, good in G.MISREAD:
+        x = f"replace({x}, '{bad}', '{good}')"
+    return x
+
+
+@query("saved_pages", rf"""WITH e AS (SELECT *, nullif(lower(regexp_extract(d, '^(10\.\d{{4,9}}/[^\s"''<>&]+)', 1)), '') AS ld, nullif(lower(rtrim(regexp_extract(d, '^(10\.\d{{4,9}}/\S+)', 1), '.,;')), '') AS td,
+ CASE WHEN lower(d) LIKE '10.%' THEN lower(d) END AS rd, CASE WHEN length(a) >= 80 THEN a END AS la, {misread("t")} AS mt, {misread("a")} AS ma, {misread("concat('X', surname)")} AS ms FROM letters)
+SELECT ord, 0 AS n, 'listing' AS kind, t AS title, surname AS author, year, ld AS doi, la AS abstract, 'html_scrape' AS source, NULL AS method FROM e WHERE ord % 5 = 0
+UNION ALL SELECT ord, 1, 'listing', trim('Second ' || t), NULL, NULL, NULL, NULL, 'html_scrape', NULL FROM e WHERE ord % 5 = 0
+UNION ALL SELECT ord, 0, 'journal', t, CASE WHEN surname = '' THEN 'Second One' ELSE surname || '; Second One' END, year, NULL, trim('Thesis ' || a), 'hein_ai_summary', NULL FROM e WHERE ord % 5 = 1 AND length(trim('Thesis ' || a)) >= 80 AND t <> ''
+UNION ALL SELECT ord, 0, 'record', NULL, NULL, NULL, NULL, NULL, 'html_scrape', NULL FROM e WHERE ord % 5 = 1 AND (length(trim('Thesis ' || a)) < 80 OR t = '')
+UNION ALL SELECT ord, 0, 'text', mt, ms, year, td, CASE WHEN length(ma || ' --- Page 2 --- end') >= 80 THEN trim(ma || ' --- Page 2 --- end') END, 'hein_ai_summary', NULL FROM e WHERE ord % 5 = 2 AND t <> ''
+UNION ALL SELECT ord, CASE WHEN t = '' THEN 0 ELSE 1 END, 'text', trim('Second ' || mt), NULL, NULL, NULL, NULL, 'hein_ai_summary', NULL FROM e WHERE ord % 5 = 2
+UNION ALL SELECT ord, 0, 'record', nullif(t, ''), surname, NULL, rd, la, 'html_scrape', CASE WHEN la IS NOT NULL THEN 'meta:description' END FROM e WHERE ord % 5 = 3
+UNION ALL SELECT ord, 0, 'record', t, NULL, NULL, rd, la, 'html_scrape', CASE WHEN la IS NOT NULL THEN 'json-ld' END FROM e WHERE ord % 5 = 4""", "letters")
+def _(v):
+    return G.saved_entries(v("saved")).drop("name")
+
+
 @query("page_titles", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
 def _(v):
     return v("pages").select("page_id", X.page_title("html").alias("title"))

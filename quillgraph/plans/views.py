@@ -10,6 +10,7 @@ depths     depth 0 to 3 of each work in each issue, from how often the issue's s
 edges      citations with a hop, with duplicates and self-loops
 counts     citation counts by source, with gaps
 biblio     an external bibliography
+saved      a page saved for a work, of one of five kinds: a listing, a law journal's results, their text, a record with meta fields or linked data
 """
 
 from __future__ import annotations
@@ -100,6 +101,31 @@ FROM {works}
 SELECT item_id, concat('list', CAST(item_id % 4 AS STRING)) AS bib, substr(text, 1, 60) AS title,
        regexp_replace(split_part(lower(substr(text, 1, 60)), ' ', 1), '[^a-z]', '', 'g') AS surname
 FROM {benchmark}
+""",
+    ),
+    "letters": (
+        ("works",),
+        """
+SELECT ord, key, year, surname, CAST(year AS STRING) AS ys, CAST(ord AS STRING) AS os,
+       trim(regexp_replace(title, '[^A-Za-z]+', ' ', 'g')) AS t, trim(regexp_replace(abstract, '[^A-Za-z]+', ' ', 'g')) AS a, coalesce(doi, '') AS d
+FROM {works}
+""",
+    ),
+    "saved": (
+        ("letters",),
+        """
+SELECT ord, CASE WHEN ord % 5 = 2 THEN concat('p', os, '.pdf') ELSE concat('p', os, '.html') END AS name,
+  CASE ord % 5
+  WHEN 0 THEN concat('<ol class="entryList"><li class="entry"><span class="articleTitle recTitle">', t, '</span> <span class="name">', surname, '</span><span class="pubYear">', ys,
+    '</span><div class="abstract"><p>', a, '</p></div><a href="go.pl?u=https%3A%2F%2Fdx.doi.org%2F', replace(replace(d, '/', '%2F'), ':', '%3A'),
+    '">x</a></li><li class="entry"><span class="articleTitle recTitle">Second ', t, '</span></li></ol>')
+  WHEN 1 THEN concat('<span class="Z3988" title="rft.atitle=', replace(t, ' ', '+'), '&amp;rft.au=', surname, '&amp;rft.au=Second+One&amp;rft.date=', ys, '&amp;rft_id=http%3A%2F%2Fx%3Fhandle%3Dhein.journals%2Fj', os, '%26div%3D', ys,
+    '"></span><span data-id="hein.journals/j', os, '.', ys, '" class=" d-none full_summary_text"><strong>Thesis</strong> ', a, '</span>')
+  WHEN 2 THEN concat('Law Journal Library\n--- Page 1 ---\n1.\n', replace(t, ' ', '\n'), ' [article]\n4 J. L. 9 (', ys, ')\nX', surname, ' (Cited 1,0', CAST(ord % 7 AS STRING), ' times)\nDOI: https://doi.org/', d, '.\nAI Summary\n', a,
+    '\n--- Page 2 ---\nend Read More\n2. Second ', t, ' [notes]\n12. 3\n')
+  WHEN 3 THEN concat('<meta name="citation_title" content="', t, '"><meta name="citation_author" content="', surname, '"><meta name="citation_doi" content="doi:', d, '"><meta name="description" content="', a, '">')
+  ELSE concat('<title> ', t, ' </title><script type="application/ld+json">[1, {{"abstract": "", "description": "', a, '"}}]</script><a href="https://doi.org/', d, '">') END AS html
+FROM {letters}
 """,
     ),
 }

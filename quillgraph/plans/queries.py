@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
+from quillgraph.functions import notes as T
 from quillgraph.functions import pages as G
 from quillgraph.functions import predicates as P
 from quillgraph.functions import render as R
@@ -656,6 +657,70 @@ def _(v):
     return G.saved_entries(v("saved")).drop("name")
 
 
+# ── Notes and cases ──────────────────────────────────────────────────────────
+NOISELESS = "text"
+for _pattern in T.NOISE:
+    NOISELESS = f"regexp_replace({NOISELESS}, '{_pattern}', '', 'g')"
+OPENS = r"""regexp_matches(line, '^\s{0,6}\d{1,3}[\s\x07]{1,6}(See|Id\.|Ibid\.|[A-Z][a-zA-Z"]).{15,}')"""
+PART = r"""regexp_extract(line, '^\s{0,6}(\d{1,3})[\s\x07]{1,6}((?:See|Id\.|Ibid\.|[A-Z][a-zA-Z"]).{15,})', """
+
+
+def notes_sql(skipped: str, lines: int, ended: str) -> str:
+    return rf"""pg AS (SELECT stem, unnest(p) AS body, generate_subscripts(p, 1) AS page FROM (SELECT stem, regexp_split_to_array({NOISELESS}, '--- Page \d+ ---') AS p FROM cited WHERE NOT ({ended}))),
+ln AS (SELECT stem, page, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT stem, page, string_split(body, chr(10)) AS l FROM pg)),
+fl AS (SELECT *, {OPENS} AS opens, NOT regexp_matches(line, '^\s*$') AND NOT regexp_matches(line, '{skipped}') AS goes FROM ln),
+cn AS (SELECT o.stem, o.page, o.i, m.i AS j, trim(m.line) AS line, m.opens, row_number() OVER (PARTITION BY o.stem, o.page, o.i ORDER BY m.i) AS k FROM fl o JOIN fl m ON o.stem = m.stem AND o.page = m.page AND m.i > o.i AND m.goes WHERE o.opens),
+st AS (SELECT stem, page, i, min(k) AS stop FROM cn WHERE opens AND k <= {lines} GROUP BY ALL),
+tx AS (SELECT c.stem, c.page, c.i, string_agg(c.line, ' ' ORDER BY k) AS more FROM cn c LEFT JOIN st s ON c.stem = s.stem AND c.page = s.page AND c.i = s.i WHERE k <= {lines} AND k < coalesce(s.stop, 99) GROUP BY ALL),
+nt AS (SELECT o.stem, o.page, o.i, {PART}1) AS number, trim({PART}2)) AS first, trim(regexp_replace(concat(trim({PART}2)), ' ', coalesce(t.more, '')), '\s+', ' ', 'g')) AS body FROM fl o LEFT JOIN tx t ON o.stem = t.stem AND o.page = t.page AND o.i = t.i WHERE o.opens)"""
+
+
+@query("footnotes", f"""WITH {notes_sql(chr(94) + r"[0-9]{1,3}[ \x09\x07]", 7, "contains(lower(stem), 'justification')")}
+SELECT stem, number, arg_max(body, (length(body), -page, -i)) AS body FROM nt WHERE length(body) > 25 GROUP BY stem, number
+UNION ALL SELECT concat('Justification ', os), '1', trim(concat('First, ', t)) FROM letters WHERE ord % 9 = 4 AND length(trim(concat('First, ', t))) > 20
+UNION ALL SELECT concat('Justification ', os), '2', concat(surname, ' 3. no note') FROM letters WHERE ord % 9 = 4 AND length(concat(surname, ' 3. no note')) > 20""", "cited", "letters")
+def _(v):
+    return T.footnotes(v("cited"))
+
+
+@query("inline_footnotes", f"""WITH {notes_sql(chr(94) + r"[0-9]{1,3}[ \x09]{2,}", 9, "FALSE")}
+SELECT stem, CAST(CAST(number AS INT) AS VARCHAR) AS number, arg_max(body, (length(body), -page, -i)) AS body FROM nt WHERE length(first) >= 20 GROUP BY ALL""", "cited")
+def _(v):
+    return T.footnotes(v("cited"), "inline")
+
+
+@query("endnotes", """SELECT stem, number, body FROM (SELECT concat(CASE WHEN ord % 9 = 4 THEN 'Justification ' ELSE 'text' END, os) AS stem, '1' AS number, trim(concat('First, ', t)) AS body FROM letters
+UNION ALL SELECT concat(CASE WHEN ord % 9 = 4 THEN 'Justification ' ELSE 'text' END, os), '2', trim(concat(surname, ' 3. no note')) FROM letters)""", "letters")
+def _(v):
+    return v("cited").select("stem", F.explode(T.endnotes("text")).alias("e")).select("stem", "e.*")
+
+
+@query("citation_blocks", rf"""WITH pg AS (SELECT stem, unnest(p) AS body, generate_subscripts(p, 1) - 1 AS page FROM (SELECT stem, regexp_split_to_array(text, '--- Page \d+ ---') AS p FROM cited)),
+z AS (SELECT stem, page, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS n FROM (SELECT stem, page, regexp_extract_all(body, '(?:^|[^\d]){T.BLOCK}', 1) AS a, regexp_extract_all(body, '(?:^|[^\d]){T.BLOCK}', 2) AS b FROM pg)),
+r AS (SELECT stem, page, n, concat('[', a, '] ', trim(b)) AS block FROM z WHERE length(trim(b)) > 30 AND regexp_matches(trim(b), '\d{{4}}'))
+SELECT stem, page, n, block FROM r QUALIFY row_number() OVER (PARTITION BY stem, substr(block, 1, 80) ORDER BY page, n) = 1""", "cited")
+def _(v):
+    return T.citation_blocks(v("cited"))
+
+
+CASE_SQL = r"""SELECT stem, unnest(list_distinct(list_concat({us}, {others}))) AS citation FROM (SELECT stem, {text} AS t FROM cited)"""
+
+
+@query("standalone_cases", CASE_SQL.format(text=NOISELESS, us=rf"""[regexp_replace(x, '\s+', ' ', 'g') for x in [rtrim(trim(y, ' ' || chr(9) || chr(10) || chr(13)), ',. ') for y in regexp_extract_all(t, '{T.CASE}')] if contains(x, ' v.') AND length(x) > 15 AND length(x) < 150 AND regexp_matches(x, '\w{{3,}}\s+v\.\s+\w{{3,}}')]""", others=rf"regexp_extract_all(t, '{T.UK_CASE}')"), "cited")
+def _(v):
+    return v("cited").select("stem", F.explode(T.standalone_cases("text")).alias("citation"))
+
+
+@query("report_cases", CASE_SQL.format(text="text", us=rf"""[x for x in [rtrim(trim(y, ' ' || chr(9) || chr(10) || chr(13)), ',. ') for y in regexp_extract_all(t, '{T.CASE_REPORT.replace("'", "''")}')] if (contains(x, ' v.') OR contains(x, ' v ')) AND length(x) > 10 AND length(x) < 120]""", others=rf"list_concat(regexp_extract_all(t, '{T.UK_CASE}'), regexp_extract_all(t, '{T.REPORTER}'))"), "cited")
+def _(v):
+    return v("cited").select("stem", F.explode(T.report_cases("text")).alias("citation"))
+
+
+@query("text_chunks", None)
+def _(v):
+    return v("documents").select("doc_id", F.posexplode(T.chunks("text")).alias("n", "chunk"))
+
+
 @query("page_titles", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
 def _(v):
     return v("pages").select("page_id", X.page_title("html").alias("title"))

@@ -10,6 +10,8 @@ depths     depth 0 to 3 of each work in each issue, from how often the issue's s
 edges      citations with a hop, with duplicates and self-loops
 counts     citation counts by source, with gaps
 biblio     an external bibliography
+letters    works with a title and an abstract of letters alone
+cited      a text of two pages for each work, with cases, footnotes and endnotes
 saved      a page saved for a work, of one of five kinds: a listing, a law journal's results, their text, a record with meta fields or linked data
 """
 
@@ -109,6 +111,16 @@ FROM {benchmark}
 SELECT ord, key, year, surname, CAST(year AS STRING) AS ys, CAST(ord AS STRING) AS os,
        trim(regexp_replace(title, '[^A-Za-z]+', ' ', 'g')) AS t, trim(regexp_replace(abstract, '[^A-Za-z]+', ' ', 'g')) AS a, coalesce(doi, '') AS d
 FROM {works}
+""",
+    ),
+    "cited": (
+        ("letters",),
+        """
+SELECT CASE WHEN ord % 9 = 4 THEN concat('Justification ', os) ELSE concat('text', os) END AS stem, ord, concat('--- Page 1 ---\n', a,
+  '\nIt was held in Smith Sons v. Xa', surname, ' Towing, ', os, ' F.2d 169 (2d Cir. 1947); and [19', CAST(10 + ord % 80 AS STRING), '] AC 562 or 375 U.S. ', os, '\nDownloaded from https://x.org/', os, ' by someone\n',
+  CAST(1 + ord % 30 AS STRING), ' See ', t, ' and others (', ys, ')\nas ', surname, ' wrote it\n\n', CAST(2 + ord % 30 AS STRING), '  Id. at 1', CAST(ord % 10 AS STRING), ' with some further words\nmore words\n--- Page 2 ---\n   ',
+  CAST(1 + ord % 30 AS STRING), ' See ', surname, ' on blame and risk, page 4\nshort line\n  7 Ibid. a second note of this page, 2001\nits end\nNotes\n1.\nFirst, ', t, '\n2.\n', surname, '\n3. no note\n') AS text
+FROM {letters}
 """,
     ),
     "saved": (

@@ -66,7 +66,7 @@ def _profile(size: int):
     """Per document: id, number of shingles, digest of the set, min-wise tokens; per task: counts by table cell."""
 
     def run(batches):
-        table = np.zeros(1 << WIDTH, np.int64)
+        table = np.zeros(1 << WIDTH, np.uint32)
         kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("hubs", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in (part for b in batches for part in text_runs(b, 1)):
             n, digest, hubs, seen = [], [], [], []
@@ -76,7 +76,8 @@ def _profile(size: int):
                 hubs.append([int(mix(s ^ k).min().view(np.int64)) for k in _SEEDS] if len(s) else [])
                 seen.append(s >> U(64 - WIDTH))
             if seen:
-                table += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(table))
+                cells, times = np.unique(np.concatenate(seen).astype(np.uint32), return_counts=True)
+                table[cells] += np.minimum(times, 2**32 - 1 - table[cells].astype(np.int64)).astype(np.uint32)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(hubs, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=kinds)
         parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(table, CHUNKS)]

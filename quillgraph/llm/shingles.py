@@ -18,7 +18,7 @@ BASE = U(0x9E3779B97F4A7C15 | 1)
 PLACE = _RANDOM.integers(0, 2**64, 16, dtype=U) | U(1)
 _INVERSE = U(pow(int(BASE), -1, 2**64))
 #: Bytes that are hashed at a time; a row is never cut, so a longer one is hashed alone.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

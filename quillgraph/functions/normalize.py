@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a tidied title leaves small.
-SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "is", "nor", "of", "on", "onto", "or", "over", "per", "so", "the", "to", "up", "via", "vs", "vs.", "with"]
+SMALL_WORDS = "a an and as at but by for from in into nor of on onto or over per the to up via vs vs. with but is so".split()
 # Words that a title's opening is compared without.
 LEAD_STOP = ["the", "a", "an", "on", "of", "in", "to", "for", "and", "or", "is", "are", "some", "what", "how", "why", "does", "do", "as", "from", "with", "two", "no", "not", "this", "that"]
 # Words without weight when a title is looked for in an abstract.
@@ -284,6 +284,24 @@ def json_block(x) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(_c(x)), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+def first_object(x) -> Column:
+    """From the first opening brace of a text to the one that closes it, by a count of depth over its braces; null without."""
+    t = _c(x)
+    begin = F.instr(t, "{")
+    marks = F.filter(F.transform(F.split(t, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("at"))), lambda m: (m["c"] == "{") | (m["c"] == "}"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end"))
+    step = lambda s, m: F.when((s["end"] > 0) | (m["at"] < begin), s).otherwise(F.struct((s["depth"] + F.when(m["c"] == "{", 1).otherwise(-1)).alias("depth"), F.when((s["depth"] == 1) & (m["c"] == "}"), m["at"]).otherwise(0).alias("end")))
+    end = F.aggregate(marks, start, step)["end"]
+    return F.when((begin > 0) & (end > 0), F.substring(t, begin, end - begin + 1))
+
+
+def json_object(x) -> Column:
+    """The object of an answer: the fenced text itself if it is one, else the first balanced object in it."""
+    block = json_block(x)
+    whole = F.try_parse_json(block)
+    return F.when(whole.isNotNull(), block).otherwise(first_object(block))
+
+
 def safe_filename(x, n: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(_c(x), r"[^A-Za-z0-9 _.-]", ""), r"\s+", "_"), 1, n)
 

@@ -14,7 +14,8 @@ from quillgraph.functions import notes as T
 from quillgraph.functions import pages as G
 from quillgraph.functions import predicates as P
 from quillgraph.functions import render as R
-from quillgraph.operators import audit, citedness, cluster, enrich, expand, hierarchy, leverage, match, reports, resolve, scoring, worklists
+from quillgraph.operators import audit, citedness, cluster, enrich, expand, hierarchy, leverage, match, positions, reports, rescue, resolve, scoring, worklists
+from quillgraph.operators import seeds as S
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
 from quillgraph.sources.scratch import materialize, scratch_path
@@ -410,7 +411,33 @@ def probes(v):
     return v("biblio").select(F.col("item_id").alias("probe_id"), "bib", "title", "surname")
 
 
-@query("list_audit_words", None)
+# Word matching in SQL, for all pairs of a list's entries and works.
+PLAIN_TITLE = f"trim(regexp_replace(regexp_replace(translate(lower(coalesce(title, '')), '{N.MARKED}', '{N.PLAIN}'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+FAMILY = r"nullif(regexp_replace(lower(CASE WHEN contains({0}, ',') THEN split_part({0}, ',', 1) ELSE regexp_extract(trim({0}), '(\S+)$', 1) END), '[^a-z]', '', 'g'), '')"
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in N.LEAD_STOP) + "]"
+
+
+def titles_sql(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT *, list_distinct([w for w in string_split(nt, ' ') if length(w) >= 4]) AS tw, [w for w in string_split(nt, ' ') if length(w) >= 3 AND NOT list_contains({STOP_LIST}, w)] AS ts FROM (SELECT *, {PLAIN_TITLE} AS nt FROM {source}))"""
+
+
+def matched_sql(probes_: str) -> str:
+    """Views pm (pairs that qualify) and bm (the best work of each probe) for probes (probe_id, title, surname)."""
+    plain = lambda c: FAMILY.format(f"translate({c}, '{N.MARKED}', '{N.PLAIN}')")
+    head = lambda a, b: f"CASE WHEN len({a}.ts) = 0 THEN 0e0 ELSE len([w for w in {a}.ts[1:3] if list_contains({b}.ts[1:4], w)]) * 1e0 / len({a}.ts[1:3]) END"
+    return f"""{titles_sql("mp_w", f"(SELECT w.*, {plain('author1')} AS m1, {plain('author2')} AS m2, coalesce(r.score, 0) AS rel, {MREVIEW} AS rv FROM works w LEFT JOIN relevance r ON w.key = r.key WHERE trim(coalesce(title, '')) <> '')")},
+{titles_sql("mp_p", f"(SELECT *, regexp_replace(lower(coalesce(surname, '')), '[^a-z]', '', 'g') AS given FROM {probes_} WHERE trim(coalesce(title, '')) <> '')")},
+mp_x AS (SELECT p.probe_id, w.key, w.ord, w.rel, w.rv, w.abstract, w.work_type, p.given, len(list_intersect(p.tw, w.tw)) AS n_common, len(p.tw) + len(w.tw) AS n_all, greatest({head("p", "w")}, {head("w", "p")}) AS head,
+ coalesce(length(m1) >= 3 AND m1 = p.given, FALSE) OR coalesce(length(m2) >= 3 AND m2 = p.given, FALSE) AS au_ok FROM mp_p p JOIN mp_w w ON len(p.tw) > 0),
+pm AS (SELECT *, CASE WHEN n_all = n_common THEN 0e0 ELSE n_common * 1e0 / (n_all - n_common) END AS sim FROM mp_x),
+bm AS (SELECT probe_id, key, rel, least(1e0, greatest(0e0, 0.55e0 * head + 0.45e0 * sim + CASE WHEN given = '' THEN 0e0 WHEN au_ok THEN 0.15e0 ELSE -0.25e0 END)) AS conf FROM pm
+ WHERE head >= 0.67e0 OR sim >= 0.8e0 OR (au_ok AND sim >= 0.5e0)
+ QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY au_ok DESC, rel DESC, rv, trim(coalesce(abstract, '')) <> '' DESC, CASE work_type WHEN 'book' THEN 3 WHEN 'book-chapter' THEN 2 WHEN 'dissertation' THEN 2 WHEN 'article' THEN 1 ELSE 0 END DESC,
+  CASE WHEN key LIKE 'doi:%' THEN 3 WHEN key LIKE 'oa:%' THEN 2 WHEN key LIKE 's2:%' THEN 1 ELSE 0 END DESC, length(coalesce(abstract, '')) DESC, head DESC, sim DESC, ord) = 1)"""
+
+
+@query("list_audit_words", f"""WITH pb AS (SELECT item_id AS probe_id, bib, title, surname FROM biblio), {matched_sql("pb")}
+SELECT pb.probe_id, pb.bib, CASE WHEN bm.key IS NULL THEN 'absent' WHEN conf < 0.55e0 THEN 'lowconf' WHEN rel >= 4 THEN 'in_matrix' ELSE 'in_graph' END AS bucket, bm.key FROM pb LEFT JOIN bm ON pb.probe_id = bm.probe_id""", "biblio", *RES)
 def _(v):
     return match.audit_list(probes(v), v("works"), v("relevance"), fuzzy=False)
 
@@ -420,6 +447,77 @@ def _(v):
     return match.audit_list(probes(v), v("works"), v("relevance")).groupBy("bib", "bucket").agg(F.count("*").alias("n"))
 
 
+SWEEP = f"""WITH {LEV}, {NODE_CITED}, wd AS (SELECT w.*, nc.raw, nc.weighted, r.score AS old_score FROM nc JOIN relevance r ON nc.key = r.key JOIN works w ON nc.key = w.key WHERE r.reason = 'failed keyword pre-filter' AND weighted >= 8),
+pb AS (SELECT key AS probe_id, title, {SURNAME} AS surname FROM wd), {matched_sql("pb")},
+cn AS (SELECT wd.*, coalesce(bm.key, wd.key) AS canon, coalesce(cr.score, 0) AS canon_score FROM wd LEFT JOIN bm ON wd.key = bm.probe_id LEFT JOIN relevance cr ON cr.key = coalesce(bm.key, wd.key)),
+kp AS (SELECT *, coalesce(trim(abstract), '') = '' AND ord % 2 = 0 AND trim(title) <> '' AS got, CAST(1 + ord % 5 AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY weighted DESC, key) AS place FROM cn) WHERE key = canon OR (canon_score < 4 AND place = 1)),
+swept AS (SELECT key, weighted, raw, old_score, score, CASE WHEN coalesce(trim(abstract), '') <> '' THEN abstract WHEN got THEN concat('pulled ', title) END AS abstract, CASE WHEN got THEN 'openalex' END AS abstract_source, score >= 4 AND old_score < 4 AS crossed FROM kp)"""
+SWEPT_VIEWS = ("works", "relevance", "edges", "depths", "issues")
+
+
+def swept(v):
+    """A sweep by words alone; a service knows every second work, and the scorer's verdicts come from the works' numbers."""
+    w = v("works")
+    answers = w.where("ord % 2 = 0 AND trim(title) <> ''").select(F.col("oa_id").alias("id"), F.concat(F.lit("pulled "), "title").alias("value"))
+    verdicts = w.select("key", (1 + F.col("ord") % 5).alias("score"))
+    return rescue.sweep(w, v("relevance"), v("edges"), leverage.leverage(v("depths"), v("issues")), answers, answers.limit(0), verdicts, fuzzy=False)
+
+
+@query("citedness_sweep", f"{SWEEP} SELECT * FROM swept", *SWEPT_VIEWS)
+def _(v):
+    return swept(v)
+
+
+@query("sweep_crossings", f"{SWEEP} SELECT s.key, s.score, round(s.weighted, 1) AS weighted, w.title FROM swept s JOIN works w ON s.key = w.key WHERE s.crossed", *SWEPT_VIEWS)
+def _(v):
+    return rescue.crossings(swept(v), v("works"))
+
+
+@query("swept_relevance", f"{SWEEP} SELECT r.key, coalesce(s.score, r.score) AS score, CASE WHEN s.key IS NOT NULL THEN 'in_network_citedness' END AS rescued_by, round(s.weighted, 1) AS in_network_weighted, s.raw AS in_network_raw FROM relevance r LEFT JOIN swept s ON r.key = s.key", *SWEPT_VIEWS)
+def _(v):
+    return rescue.swept_relevance(v("relevance"), swept(v))
+
+
+@query("batched_answers", """WITH a AS (SELECT key, doi, ord, title, row_number() OVER (ORDER BY ord) - 1 AS position FROM works WHERE doi IS NOT NULL)
+SELECT key, position // 50 AS batch, CAST(position % 50 AS INT) AS at, CASE WHEN ord % 3 <> 0 AND (position // 50) % 4 <> 1 AND NOT ((position // 50) % 4 = 2 AND position % 50 >= 40) THEN title END AS answer FROM a""", "works")
+def _(v):
+    # A service that answers in order: nothing for every third work, no answer to a batch in four, a short one to another.
+    asked = materialize(positions.batched(v("works").where("doi IS NOT NULL").select("key", "doi", "ord", "title"), "ord", size=50), "asked")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("ord") % 3 != 0, F.col("title")).alias("item")))), lambda x: x["item"])
+    answers = asked.groupBy("batch").agg(items.alias("items")).where("batch % 4 <> 1")
+    answers = answers.withColumn("items", F.when(F.col("batch") % 4 == 2, F.slice("items", 1, 40)).otherwise(F.col("items")))
+    return positions.zipped(asked.select("key", "batch", "at"), answers)
+
+
+SEED_WORDS = "list_distinct([w for w in regexp_split_to_array(lower(coalesce({0}, '')), '\\s+') if w <> ''])"
+
+
+@query("resolved_seeds", f"""WITH sd AS (SELECT key AS id, ord, title, CASE WHEN ord % 4 = 1 THEN NULL ELSE doi END AS doi, CASE WHEN ord % 4 = 0 THEN s2_id END AS s2_id, CASE WHEN ord % 3 = 0 THEN '' ELSE abstract END AS abstract FROM works WHERE ord % 5 = 2),
+pp AS (SELECT lower(doi) AS d, min(struct_pack(s := concat('S', CAST(ord AS VARCHAR)), d := doi, a := concat('by doi ', title))) AS p FROM works WHERE ord % 4 = 2 AND doi IS NOT NULL GROUP BY 1),
+kn AS (SELECT sd.*, coalesce(trim(s2_id), '') <> '' OR (doi IS NULL AND trim(coalesce(title, '')) = '') AS known, p FROM sd LEFT JOIN pp ON lower(sd.doi) = pp.d),
+rs AS (SELECT kn.id, r.ord AS rank, concat('F', CAST(r.ord AS VARCHAR)) AS s2, CASE WHEN r.ord % 2 = 0 THEN r.doi END AS rd, concat('found ', r.title) AS ra, len(list_intersect({SEED_WORDS.format("kn.title")}, {SEED_WORDS.format("r.title")})) * 1e0 / greatest(1, len({SEED_WORDS.format("kn.title")})) AS share
+ FROM kn JOIN works x ON x.key = kn.id JOIN works r ON r.year = x.year AND r.citations % 10 = x.citations % 10 WHERE NOT known AND p IS NULL AND trim(coalesce(kn.title, '')) <> '' AND r.key <> kn.id),
+bs AS (SELECT * FROM rs WHERE share >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY share DESC, rank) = 1)
+SELECT kn.id, title, coalesce(CASE WHEN trim(doi) <> '' THEN doi END, CASE WHEN NOT known THEN coalesce(p.d, CASE WHEN p IS NULL THEN rd END) END) AS doi, coalesce(CASE WHEN trim(s2_id) <> '' THEN s2_id END, CASE WHEN NOT known THEN coalesce(p.s, s2) END) AS s2_id,
+ coalesce(CASE WHEN trim(abstract) <> '' THEN abstract END, CASE WHEN NOT known THEN coalesce(p.a, ra) END) AS abstract, CASE WHEN known THEN 'as given' WHEN p IS NOT NULL THEN 'doi' WHEN s2 IS NOT NULL THEN 'search' ELSE 'unresolved' END AS how FROM kn LEFT JOIN bs ON kn.id = bs.id""", "works")
+def _(v):
+    w = v("works")
+    given = w.where("ord % 5 = 2").select(F.col("key").alias("id"), "title", F.expr("CASE WHEN ord % 4 <> 1 THEN doi END").alias("doi"), F.expr("CASE WHEN ord % 4 = 0 THEN s2_id END").alias("s2_id"), F.expr("CASE WHEN ord % 3 = 0 THEN '' ELSE abstract END").alias("abstract"), "year", (F.col("citations") % 10).alias("c"))
+    papers = w.where("ord % 4 = 2").select("doi", F.concat(F.lit("S"), F.col("ord").cast("string")).alias("s2_id"), F.concat(F.lit("by doi "), "title").alias("abstract"))
+    # Other works of the year, a tenth of them, are results of the search.
+    other = w.select(F.col("key").alias("found"), "year", (F.col("citations") % 10).alias("c"), F.col("ord").alias("rank"), "title", F.expr("CASE WHEN ord % 2 = 0 THEN doi END").alias("doi"), F.concat(F.lit("F"), F.col("ord").cast("string")).alias("s2_id"), F.concat(F.lit("found "), "title").alias("abstract"))
+    results = given.select("id", "year", "c").join(other, ["year", "c"]).where("id <> found").drop("year", "c", "found")
+    return S.resolve_seeds(given.drop("year", "c"), papers, results)
+
+
+@query("answer_objects", """SELECT key, CASE ord % 4 WHEN 0 THEN concat('{"a": ', os, '}') WHEN 1 THEN concat('{"a": {"b": ', os, '}}') WHEN 2 THEN concat('{"t": {"', os, '": {}}}') END AS object FROM (SELECT *, CAST(ord AS VARCHAR) AS os FROM works)""", "works")
+def _(v):
+    n = F.col("ord").cast("string")
+    answer = F.when(F.col("ord") % 4 == 0, F.concat(F.lit('```json\n{"a": '), n, F.lit("}\n```"))).when(F.col("ord") % 4 == 1, F.concat(F.lit('Sure. {"a": {"b": '), n, F.lit("}} Hope } this {helps}")))
+    answer = answer.when(F.col("ord") % 4 == 2, F.concat(F.lit('```\n} {"t": {"'), n, F.lit('": {}}} rest\n```'))).otherwise(F.concat(F.lit("{ never closed "), n))
+    return v("works").select("key", N.json_object(answer).alias("object"))
+
+
 @query("chapter_parents", """WITH b AS (SELECT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS bt, arg_max(key, ord) AS book_key, min(ord) AS first FROM works WHERE work_type = 'book' GROUP BY 1),
 c AS (SELECT key, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS ct FROM works WHERE work_type = 'book-chapter'),
 x AS (SELECT c.key, c.ct, b.book_key FROM c LEFT JOIN b ON c.ct = b.bt WHERE c.ct <> ''),

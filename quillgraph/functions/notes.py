@@ -6,10 +6,10 @@ lines, so no line is shuffled. Only the choice of a number's longest body groups
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.extract import PAGE, REPORTER, UK_CASE
+from quillgraph.functions.extract import PAGE, REPORTER, UK_CASE, references_section
 from quillgraph.functions.normalize import _c
 
 # Lines that publishers print into a text, and those of another press around its chapters.
@@ -87,6 +87,40 @@ def footnotes(texts: DataFrame, form: str = "parser", endnote_stems: str | None
     return best.unionByName(listed)
 
 
+# A numbered entry, an entry that begins with an author, a dash for the author before, a year, and how many numbers make a numbered list.
+NUMBERED = r"(?m)^[ \t\x07]*(\d{1,3})[ \t\x07]+(?=[A-ZÀ-Þ])"
+AUTHOR = r"^(?:[A-ZÀ-Þ][\p{L}\p{N}_’'-]+,\s+[A-ZÀ-Þ]|[A-ZÀ-Þ][\p{L}\p{N}_’'-]+\s{1,4}[A-ZÀ-Þ]{1,3},)"
+AGAIN, DATED = r"^[—–-]{2,}\s+", r"\b(?:19|20)\d\d\b"
+LEAST_NUMBERS, IN_SEQUENCE = 3, 0.6
+
+
+def reference_entries(texts: DataFrame, whole: bool = False) -> DataFrame:
+    """texts (stem, text): (stem, n, entry), entries with a year of a text's reference list, or of the text itself if `whole`.
+
+    Numbers that begin at 1 or 2 and mostly rise by one cut the list. Else an author or a dash opens an entry, other lines go
+    on with it, and a dash stands for the last author named above it.
+    """
+    refs = F.regexp_replace(F.coalesce("text", F.lit("")) if whole else references_section("text"), "-\n", "")
+    rows = texts.select("stem", refs.alias("refs")).where("refs IS NOT NULL")
+    rows = rows.withColumn("numbers", F.transform(F.regexp_extract_all("refs", F.lit(NUMBERED), F.lit(1)), lambda x: x.cast("int")))
+    steps = F.size(F.filter(F.transform("numbers", lambda x, i: F.get("numbers", i + 1) - x), lambda d: d == 1))
+    runs = (F.size("numbers") >= LEAST_NUMBERS) & (F.get("numbers", F.lit(0)) <= 2) & (steps >= IN_SEQUENCE * F.size("numbers"))
+    rows = rows.withColumn("runs", F.coalesce(runs, F.lit(False)))
+    parts = F.split("refs", NUMBERED)
+    numbered = rows.where("runs").select("stem", F.posexplode(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _squeezed)).alias("n", "entry"))
+    # Lines, the author named last above each, and the entry each belongs to.
+    lines = rows.where("NOT runs").select("stem", F.posexplode(F.transform(F.split("refs", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))).alias("at", "line")).where("line <> ''")
+    again = F.col("line").rlike(AGAIN)
+    named = F.when(F.col("line").rlike(AUTHOR) & ~again, F.trim(F.get(F.split("line", ",|  "), F.lit(0))))
+    before, to_here = Window.partitionBy("stem").orderBy("at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("stem").orderBy("at")
+    lines = lines.withColumn("author", F.last(named, ignorenulls=True).over(before)).withColumn("opens", again | F.col("line").rlike(AUTHOR) | (F.row_number().over(to_here) == 1))
+    text = F.when(again & (F.coalesce("author", F.lit("")) != ""), F.concat("author", F.lit(", "), F.regexp_replace("line", AGAIN, ""))).otherwise(F.col("line"))
+    lines = lines.withColumn("text", text).withColumn("n", F.sum(F.col("opens").cast("int")).over(to_here.rowsBetween(Window.unboundedPreceding, 0)))
+    dated = lines.groupBy("stem", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("entry"))
+    found = numbered.unionByName(dated.select("stem", (F.col("n") - 1).cast("int").alias("n"), "entry"))
+    return found.where((F.col("entry") != "") & F.col("entry").rlike(DATED))
+
+
 def citation_blocks(texts: DataFrame) -> DataFrame:
     """texts (stem, text): (stem, n, block) of the report: '[number] body' of over 30 characters with a year's four digits, one of those that begin alike."""
     pages = texts.select("stem", F.posexplode(F.split(F.coalesce("text", F.lit("")), PAGE)).alias("page", "body"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.extract import unescape
 from quillgraph.functions.normalize import _c
+from quillgraph.functions.render import fix_ligatures
 
 #: Fixed value: characters that an abstract has at least.
 LEAST = 80
@@ -24,11 +25,6 @@ DOI_PLACES = (
 )
 # Meta fields that hold an abstract, best first.
 ABSTRACT_FIELDS = ("citation_abstract", "dc.description", "dcterms.abstract", "description", "og:description")
-# Systematic misreadings of ligatures in exported texts, replaced in this order.
-MISREAD = (
-    ("specibc", "specific"), ("bnancial", "financial"), ("debn", "defin"), ("akrm", "affirm"), ("sukce", "suffice"), ("fawed", "flawed"), ("infuence", "influence"), ("benebt", "benefit"),
-    ("frst", "first"), ("brst", "first"), ("artibcial", "artificial"), ("refect", "reflect"), ("signibcant", "significant"), ("deb ", "defi"), ("conf ict", "conflict"),
-)
 # Types that end a title in a list of results, the largest number of an entry, marks of the page's own buttons.
 TYPES, MOST_ENTRIES, GLYPHS = "article|comments|notes|chapter|review", 400, "[✉🔖👍🔍✨⎙✏�]"
 ENTRY = "struct<title:string,author:string,year:int,doi:string,abstract:string>"
@@ -152,10 +148,7 @@ MARK = r"^\s*(\d{1,3})\.\s*(.*)$"
 def journal_lines(text) -> Column:
     """Lines of a law-journal results page saved as text, its misreadings mended; none for another text."""
     t = F.coalesce(_c(text), F.lit(""))
-    fixed = t
-    for bad, good in MISREAD:
-        fixed = F.replace(fixed, F.lit(bad), F.lit(good))
-    return F.when(F.contains(t, F.lit("Law Journal Library")) | F.contains(t, F.lit("AI Summary")), F.split(fixed, "\n")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(t, F.lit("Law Journal Library")) | F.contains(t, F.lit("AI Summary")), F.split(fix_ligatures(t), "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def entry_places(lines) -> Column:

@@ -727,7 +727,7 @@ def _(v):
 # ── Texts and pages ──────────────────────────────────────────────────────────
 @query("case_citations", None)
 def _(v):
-    return v("documents").select("doc_id", F.explode(X.case_citations(F.coalesce("text", F.lit("")))).alias("citation"))
+    return v("documents").select("doc_id", F.explode(T.report_cases("text")).alias("citation"))
 
 
 @query("format_detection", None)
@@ -736,7 +736,7 @@ def _(v):
 
 
 def misread(x: str) -> str:
-    for bad, good in G.MISREAD:
+    for bad, good in R.LIGATURES:
         x = f"replace({x}, '{bad}', '{good}')"
     return x
 
@@ -793,6 +793,17 @@ def _(v):
     return v("cited").select("stem", F.explode(T.endnotes("text")).alias("e")).select("stem", "e.*")
 
 
+@query("reference_entries", r"""WITH l AS (SELECT *, lower(surname) AS s FROM letters)
+SELECT concat('r', os) AS stem, 0 AS n, concat('Smith, J. (', ys, ') ', t, ' continued') AS entry FROM l WHERE ord % 2 = 0
+UNION ALL SELECT concat('r', os), 1, concat('Smith, (1995) ', t) FROM l WHERE ord % 2 = 0 UNION ALL SELECT concat('r', os), 2, concat('Xa', s, ' HL, On Law 2001.') FROM l WHERE ord % 2 = 0
+UNION ALL SELECT concat('r', os), 0, trim(concat('Ab ', t, ' ', ys)) FROM l WHERE ord % 2 = 1 UNION ALL SELECT concat('r', os), 2, concat('Cd ', os, ' punishment 1968') FROM l WHERE ord % 2 = 1""", "letters")
+def _(v):
+    head = F.concat(F.lit("Body\nReferences\nold 1990\n"), "t", F.lit("\n Works Cited \n"))
+    dated = F.concat(F.lit("Smith, J. ("), "ys", F.lit(") "), "t", F.lit("\n  continued\n—— (1995) "), "t", F.lit("\nXa"), F.lower("surname"), F.lit(" HL, On Law 2001.\nNobody, N. undated\n"))
+    numbered = F.concat(F.lit("1  Ab "), "t", F.lit(" "), "ys", F.lit("\n2  Bc no year\n 3 Cd "), "os", F.lit("\n punish-\nment 1968\n\nAppendix\n4  De 1999\n"))
+    return T.reference_entries(v("letters").select(F.concat(F.lit("r"), "os").alias("stem"), F.concat(head, F.when(F.col("ord") % 2 == 0, dated).otherwise(numbered)).alias("text")))
+
+
 @query("citation_blocks", rf"""WITH pg AS (SELECT stem, unnest(p) AS body, generate_subscripts(p, 1) - 1 AS page FROM (SELECT stem, regexp_split_to_array(text, '--- Page \d+ ---') AS p FROM cited)),
 z AS (SELECT stem, page, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS n FROM (SELECT stem, page, regexp_extract_all(body, '(?:^|[^\d]){T.BLOCK}', 1) AS a, regexp_extract_all(body, '(?:^|[^\d]){T.BLOCK}', 2) AS b FROM pg)),
 r AS (SELECT stem, page, n, concat('[', a, '] ', trim(b)) AS block FROM z WHERE length(trim(b)) > 30 AND regexp_matches(trim(b), '\d{{4}}'))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import extract as X
 from quillgraph.functions import normalize as N
+from quillgraph.functions import notes
+from quillgraph.functions import pages as G
 from quillgraph.functions import predicates as P
 
 
@@ -125,11 +127,6 @@ def test_reconciled_citedness(spark, oa, cr, sc, expected):
     assert tuple(df.first()) == expected
 
 
-def test_case_citations(one):
-    got = one(X.case_citations("t"), t="Held in Smith v. Jones, and [1932] AC 562; also 159 F.2d 169.")
-    assert "[1932] AC 562" in got and "159 F.2d 169" in got and any("Smith v. Jones" in c for c in got)
-
-
 def test_format_detection(spark):
     text = "Body text.\nReferences\n1. Smith, J. On Blame. 10.1234/abc\n2. Jones\n--- Page 1 ---\n"
     r = X.detect_format(spark.createDataFrame([("a", text), ("b", "plain")], "stem string, text string")).orderBy("stem").collect()
@@ -137,13 +134,20 @@ def test_format_detection(spark):
     assert (r[1]["format"], r[1]["confidence"], r[1]["parser"]) == ("unknown", "low", "either")
 
 
-def test_split_entries():
+def entries(spark, text):
+    rows = notes.reference_entries(spark.createDataFrame([("t", text)], "stem string, text string"), whole=True)
+    return [r.entry for r in rows.orderBy("n").collect()]
+
+
+def test_reference_entries(spark):
     numbered = "1  Smith J. On blame. 1990.\n2  Jones K. Luck\n   again. 2001.\n3  Lee A. No year.\n"
-    assert X.split_entries(numbered) == ["Smith J. On blame. 1990.", "Jones K. Luck again. 2001."]
+    assert entries(spark, numbered) == ["Smith J. On blame. 1990.", "Jones K. Luck again. 2001."]
     dated = "Smith, J. (1990) On blame.\n  continued\n—— (1995) More.\nJones, K. (2001) Luck."
-    assert X.split_entries(dated) == ["Smith, J. (1990) On blame. continued", "Smith, (1995) More.", "Jones, K. (2001) Luck."]
+    assert entries(spark, dated) == ["Smith, J. (1990) On blame. continued", "Smith, (1995) More.", "Jones, K. (2001) Luck."]
     # Two numbered entries are too few: they are taken as a dated list.
-    assert X.split_entries("1  Smith J. 1990.\n2  Jones K. 2001.") == ["1  Smith J. 1990. 2  Jones K. 2001."]
+    assert entries(spark, "1  Smith J. 1990.\n2  Jones K. 2001.") == ["1  Smith J. 1990. 2  Jones K. 2001."]
+    assert entries(spark, "—— (1995) nobody before\nHart HLA, Punish-\nment 1968") == ["—— (1995) nobody before", "Hart HLA, Punishment 1968"]
+    assert entries(spark, "") == []
 
 
 def test_references_section(one):
@@ -151,33 +155,16 @@ def test_references_section(one):
     assert one(X.references_section("t"), t="none") is None
 
 
-def test_udtfs(spark):
-    spark.udtf.register("split_entries", X.SplitEntries)
-    got = spark.sql("SELECT * FROM split_entries('Smith, J. (1990) A.\nJones, K. (2001) B.')").collect()
-    assert [r["entry"] for r in got] == ["Smith, J. (1990) A.", "Jones, K. (2001) B."]
-    spark.udtf.register("footnotes", X.FootnoteBlocks)
-    got = spark.sql("SELECT * FROM footnotes('body\n1 See Smith on blame and luck\nmore of it\n\n2 short', 7, 20)").collect()
-    assert [(r["number"], r["body"]) for r in got] == [(1, "See Smith on blame and luck more of it")]
-
-
 def test_pages(one):
     page = '<html><head><title> A\n B </title><meta name="citation_doi" content="doi:10.1234/AbC"><meta content="' + "x" * 90 + '" name="description"></head><body><script>var t="</p>"</script><p>Hi <b>there</b></p></body></html>'
     assert one(X.page_title("h"), h=page) == "A B"
-    assert one(X.page_doi("h"), h=page) == "10.1234/abc"
-    assert tuple(one(X.page_abstract("h"), h=page)) == ("x" * 90, "meta")
+    assert one(G.record_doi("h"), h=page.replace('meta name="citation_doi" content', 'meta name="citation_doi"  content')) == "10.1234/abc"
+    assert tuple(one(G.record_abstract("h"), h=page[page.index("<meta content") :])) == ("x" * 90, "meta:description")
+    assert one(G.record_abstract("h"), h=page) is None  # the rule takes the first field's value up to the second one's quote
     assert one(X.visible_text("h"), h="<p>Hi <b>there</b></p><script>x</script>") == "Hi there"
-    ld = '<script type="application/ld+json">{"description": "' + "y" * 80 + '"}</script>'
-    assert one(X.page_abstract("h"), h=ld)["method"] == "jsonld"
-    assert one(X.page_abstract("h"), h="<p>short</p>") is None
     assert one(X.unescape("h"), h="a &amp; b &#233;") == "a & b é"
 
 
-def test_listing_pages(spark):
-    html = "<div class='entry'><span class='articleTitle'>On Blame</span><span class='name'>Smith, J</span> 1999 <a href='/go?u=https%3A%2F%2Fdoi.org%2F10.1234%2FAb'>x</a><div class='abstract'>Text</div></div>"
-    r = X.listing_entries(spark.createDataFrame([("p", "<html>" + html * 2)], "page_id string, html string")).collect()
-    assert len(r) == 2 and tuple(r[0])[2:] == ("On Blame", "Smith, J", 1999, "10.1234/ab", "Text")
-
-
 def test_rendered_text(spark):
     from quillgraph.functions import render as R
 

@@ -1,7 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Writing: one gzip member per record in one archive file per task, in the shared folder; a
-task that runs again writes a new file, and only files of finished tasks are referred to.
+Writing: WARC/1.1, one gzip member per record in one archive file per task, in the shared folder,
+a warcinfo record first; a task that runs again writes a new file, and only files of finished
+tasks are referred to. Record ids follow from file and offset; the page's own id is a field of
+its own. The date is a parameter, so that reruns agree.
 
 Index: captures are range-sorted by reversed-host URL key and page id. Every range becomes
 one file of zlib-compressed blocks that ends with its sparse block directory (the first key
@@ -12,7 +14,7 @@ Reading back: found places are sorted by archive and offset, and each record is
 
 Defined results: a null html is an empty payload; a null or broken URL is keyed by its own
 text; of equal payloads of at least `least_revisit` bytes the record of the largest page id
-is the response; a null page id is smallest; rows that repeat get a record each; an empty
+is the response; a page without an absolute URL gets one made of its id; a null page id is smallest; rows that repeat get a record each; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -23,10 +25,11 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from functools import lru_cache
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, partitions, scratch_path
 
 CAPTURE = "key string, file string, offset long, length long"
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:.")
 #: Captures in a block of the index.
 BLOCK = 512
 #: Bytes of an archive that are read back by one task together, and bytes that a task reads in all.
@@ -62,22 +66,43 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def encode_record(page_id, url, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record: a response, or a revisit without the payload if refers_to is given."""
+def target_uri(url: str | None, page_id: int | None) -> str:
+    """An absolute URI in ASCII: what a URI cannot hold is percent-encoded; without a scheme the page's id stands for it."""
+    plain = quote((url or "").strip(), safe="%/:?#[]@!$&'()*+,;=~-._")
+    return plain if SCHEME.match(plain) else f"urn:page:{'none' if page_id is None else page_id}"
+
+
+def _record(head: dict[str, str], block: bytes) -> bytes:
+    lines = "".join(f"{k}: {v}\r\n" for k, v in (head | {"Content-Length": str(len(block))}).items())
+    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def record_id(file: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}:{offset}')}>"
+
+
+def encode_info(file: str, date: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: quillgraph\r\nformat: WARC File Format 1.1\r\n"
+    return _record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(file, 0), "WARC-Date": date, "WARC-Filename": file, "Content-Type": "application/warc-fields"}, block)
+
+
+def encode_record(name: str, date: str, page_id, url, payload: bytes, refers_to=None, refers_url=None) -> bytes:
+    """One record: a response, or a revisit without the payload if refers_to (a page id) is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{page_id}>",
-        "WARC-Target-URI": json.dumps(url or "")[1:-1],
+        "WARC-Record-ID": name,
+        "WARC-Date": date,
+        "WARC-Target-URI": target_uri(url, page_id),
         "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}",
         "Content-Type": "application/http;msgtype=response",
-        "Content-Length": str(len(block)),
     }
+    if page_id is not None:
+        head["X-Page-ID"] = str(page_id)
     if refers_to is not None:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
-    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": target_uri(refers_url, refers_to), "WARC-Refers-To-Date": date, "X-Refers-To-Page-ID": str(refers_to)}
+    return _record(head, http if refers_to is not None else http + payload)
 
 
 def decode_record(raw: bytes) -> dict:
@@ -101,17 +126,21 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _archive_writer(folder: str):
+def _archive_writer(folder: str, date: str):
     def run(batches):
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
-            ids, urls, payloads, refers = (batch.column(i) for i in range(4))
+            ids, urls, payloads, refers, refers_urls = (batch.column(i) for i in range(5))
             rows = {"key": [], "file": [], "offset": [], "length": []}
-            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
-            for page_id, url, payload, refers_to in zip(ids.to_pylist(), urls.to_pylist(), payloads, refers.to_pylist()):
-                member = gzip.compress(encode_record(page_id, url, payload.as_buffer().to_pybytes(), refers_to), 4, mtime=0)
+            if out is None and batch.num_rows:
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
+                info = gzip.compress(encode_info(name, date), 4, mtime=0)
+                out.write(info)
+                at = len(info)
+            for page_id, url, payload, refers_to, refers_url in zip(ids.to_pylist(), urls.to_pylist(), payloads, refers.to_pylist(), refers_urls.to_pylist()):
+                member = gzip.compress(encode_record(record_id(name, at), date, page_id, url, payload.as_buffer().to_pybytes(), refers_to, refers_url), 4, mtime=0)
                 out.write(member)
                 for k, v in zip(rows, (capture_key(url, page_id), name, at, len(member))):
                     rows[k].append(v)
@@ -217,8 +246,8 @@ def _record_reader(folder: str):
                         f.close()
                     name, f = file, store.open_input_file(f"{root}/{file}")
                 record = decode_record(gzip.decompress(f.read_at(length, offset)))
-                number = lambda field: None if field is None or "None" in field else int(field[len("<urn:page:") : -1])
-                for k, v in zip(out, (number(record["WARC-Record-ID"]), record["payload_bytes"], record["WARC-Payload-Digest"][5:], record["WARC-Type"], number(record.get("WARC-Refers-To")))):
+                number = lambda field: int(record[field]) if field in record else None  # noqa: B023,E731
+                for k, v in zip(out, (number("X-Page-ID"), record["payload_bytes"], record["WARC-Payload-Digest"][5:], record["WARC-Type"], number("X-Refers-To-Page-ID"))):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
         if f:
@@ -227,16 +256,16 @@ def _record_reader(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write a record per page into archives below folder; returns the captures (key, file, offset, length)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
-    top = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top_id"), F.count("*").alias("many")).where("many > 1")
+    top = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top_id"), F.max_by("url", "page_id").alias("top_url"), F.count("*").alias("many")).where("many > 1")
     # A table of repeated payloads alone, written so that Spark knows its size: small, it goes to the payloads, which then stay where they are.
-    repeated = materialize(top.where(F.col("size") >= least_revisit).select("sha", "size", "top_id"), "repeated-payloads")
+    repeated = materialize(top.where(F.col("size") >= least_revisit).select("sha", "size", "top_id", "top_url"), "repeated-payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("top_id")), F.col("top_id")).alias("refers_to")
-    joined = rows.join(repeated, ["sha", "size"], "left").select("page_id", "url", "payload", refers)
-    return materialize(joined.mapInArrow(_archive_writer(folder), CAPTURE), "captures")
+    joined = rows.join(repeated, ["sha", "size"], "left").select("page_id", "url", "payload", refers, "top_url")
+    return materialize(joined.mapInArrow(_archive_writer(folder, date), CAPTURE), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple[str, str]]:

@@ -3,7 +3,7 @@
 A vocabulary learnt on ordinary text spends few characters per token on random strings. A
 run of key characters is flagged when its characters per token fall below a limit, unless
 it is a known digest or an identifier whose words are cheap in tokens. Letters of one case
-must fall further below. Flags are added to the
+are judged by what their tokens cost, rare tokens more than common ones. Flags are added to the
 spans of the base patterns, never put in their place.
 
 Bytes of a whole batch are searched at once for what a pattern cannot do without (a
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -44,8 +45,10 @@ NAME = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/-](?:[A-Za-z]+|[0-9]+))*=?|[a-z]*(
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Letters of one case but for capitals at the start of words: no camel case.
 ONE_CASE = re.compile(r"[^A-Za-z]*(?:[A-Z]?[a-z]+[^A-Za-z]+)*(?:[A-Z]?[a-z]+)?|[^a-z]+")
-#: Long and foreign words cost more tokens, so letters of one case must lie under this share of the limit.
-ONE_CASE_SHARE = 0.77
+#: Letters of one case are words or keys, and long or foreign words cost many tokens too, so their tokens are weighed: a vocabulary
+#: lists its tokens by how often they come, about as one over the place. Per letter, what the letters would cost at random less
+#: what the tokens cost, in natural logarithms; at or under these limits a run of small letters, or of capitals, is a key.
+SMALL_LIMIT, CAPITAL_LIMIT = -1.60, -2.355
 TIME = re.compile(r"[0-9]{8}T[0-9]{6}Z?")
 
 
@@ -91,6 +94,15 @@ def _letters_per_token(run: str, encoding) -> float:
     return sum(map(len, words)) / max(1, sum(len(encoding.encode_ordinary(w)) for w in words))
 
 
+def token_gain(run: str, encoding) -> float:
+    """Of the words of a run: cost of random letters less cost of the tokens by their places, for each letter."""
+    words = PART.findall(run)
+    letters = sum(map(len, words))
+    all_places = math.log(math.log(encoding.n_vocab) + 0.5772)  # so that the shares of all places sum to one
+    cost = sum(math.log(t + 1) + all_places for w in words for t in encoding.encode_ordinary(w))
+    return math.log(26) - cost / max(1, letters)
+
+
 def looks_random(run: str, encoding, limit: float) -> bool:
     """Whether a run of key characters takes more tokens than words would."""
     digits = sum(c.isdigit() for c in run)
@@ -100,7 +112,7 @@ def looks_random(run: str, encoding, limit: float) -> bool:
     if len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return False
     if digits < 2 and ONE_CASE.fullmatch(run):
-        return _letters_per_token(run, encoding) < limit * ONE_CASE_SHARE
+        return token_gain(run, encoding) <= (SMALL_LIMIT if any(c.islower() for c in run) else CAPITAL_LIMIT)
     if NAME.fullmatch(run) and _letters_per_token(run, encoding) >= limit:
         return False
     return len(run) / len(encoding.encode_ordinary(run)) < limit

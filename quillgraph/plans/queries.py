@@ -112,9 +112,12 @@ def _(v):
 
 
 def ranked(v):
-    rows = materialize(leverage.fold_truncated(leverage.dedup_titles(lev_rows(v).drop("abstract"))), "ranked-rows")
+    v.keep("works", "abstract")
+    lev = materialize(leverage.leverage(v("depths"), v("issues")), "leverage")
+    rows = v("works").join(lev, "key").join(v("relevance").select("key", "score"), "key", "left")
+    rows = materialize(leverage.fold_truncated(leverage.dedup_titles(rows)), "ranked-rows")
     ids = citedness.identities(v("works"))
-    cited = ids.join(citedness.identity_citedness(v("edges"), ids, leverage.leverage(v("depths"), v("issues"))), "pid").select("key", "in_corpus_weighted")
+    cited = ids.join(citedness.identity_citedness(v("edges"), ids, lev), "pid").select("key", "in_corpus_weighted")
     glob = citedness.global_citedness(v("works"), v("counts")).select("key", "cite_reliable", "cites_per_year")
     rows = rows.join(cited, "key", "left").join(glob, "key", "left").join(leverage.clusters(rows), "key", "left")
     return leverage.rank_table(rows.withColumn("author", F.col("author1")), leverage.cutoffs(rows))
@@ -159,6 +162,7 @@ def _(v):
 
 @query("identity_citedness", f"WITH {LEV}, {CITED} SELECT * FROM cited", "works", "edges", "depths", "issues")
 def _(v):
+    v.keep("works", "abstract")
     return citedness.identity_citedness(v("edges"), citedness.identities(v("works")), leverage.leverage(v("depths"), v("issues")))
 
 
@@ -378,7 +382,7 @@ def _(v):
 # ── Matching ─────────────────────────────────────────────────────────────────
 def references(v):
     """References of every work: what it cites, under a record with some identifiers and a title."""
-    w = v("works")
+    w = v.keep("works", "abstract")
     r = v("edges").join(w.select(F.col("key").alias("dst"), "doi", "oa_id", "s2_id", "title", "year", "ord").withColumnRenamed("ord", "w_ord"), "dst")
     gone = F.col("year") < 1995
     return r.select(
@@ -968,15 +972,24 @@ def _(v):
     return rows.select("ident", "cocite", "year", R.wave("stem", ("2",)).alias("wave")).orderBy(*reports.overlooked_order())
 
 
-def _reader(spark, sf_dir):
-    found: dict = {}
+class Reader:
+    """Views and tables of one query by name; those that are kept are written once, and views that need them read the written table."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir, self.found = spark, sf_dir, {}
+
+    def __call__(self, name):
+        if name not in self.found:
+            self.found[name] = view(self.spark, self.sf_dir, name, self)
+        return self.found[name]
+
+    def keep(self, name, *without):
+        """Write a view that the query reads several times, without columns that it does not need."""
+        self.found[name] = materialize(self(name).drop(*without), name)
+        return self.found[name]
 
-    def v(name):
-        if name not in found:
-            found[name] = view(spark, sf_dir, name)
-        return found[name]
 
-    return v
+_reader = Reader
 
 
 def queries() -> dict:

@@ -70,10 +70,10 @@ SELECT * FROM (VALUES ('A1', 'the', 1.5e0, TRUE, 0), ('A2', 'tion', 1.5e0, TRUE,
     "depths": (
         ("documents", "works", "issues"),
         """
-SELECT w.key, i.issue_id,
-       CAST(least(3, floor((length(lower(coalesce(d.text, ''))) - length(replace(lower(coalesce(d.text, '')), i.stem, ''))) * 30.0
-            / greatest(1, length(coalesce(d.text, ''))))) AS INT) AS depth
-FROM {documents} d JOIN {works} w ON w.ord = d.doc_id CROSS JOIN {issues} i
+SELECT w.key, x.issue_id, x.depth
+FROM (SELECT d.doc_id, i.issue_id, CAST(least(3, floor((length(d.t) - length(replace(d.t, i.stem, ''))) * 30.0 / greatest(1, d.n))) AS INT) AS depth
+      FROM (SELECT doc_id, lower(coalesce(text, '')) AS t, length(coalesce(text, '')) AS n FROM {documents}) d CROSS JOIN {issues} i) x
+JOIN {works} w ON w.ord = x.doc_id
 """,
     ),
     "edges": (
@@ -152,13 +152,14 @@ def _needed(names) -> list[str]:
     return out
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or the table of that name."""
+def view(spark: SparkSession, sf_dir: str, name: str, read=None) -> DataFrame:
+    """A view, or the table of that name. `read` gives the views that it needs; they are made anew without it."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs, text = VIEWS[name]
+    read = read or (lambda x: view(spark, sf_dir, x))
     # Spark's regexp_replace replaces all matches and knows no flags.
-    return spark.sql(text.replace(", 'g')", ")"), **{x: view(spark, sf_dir, x) for x in inputs})
+    return spark.sql(text.replace(", 'g')", ")"), **{x: read(x) for x in inputs})
 
 
 def with_views(query: str, *names: str) -> str:

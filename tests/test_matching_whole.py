@@ -34,7 +34,9 @@ def works(spark, rows):
     return spark.createDataFrame([(f"k{i}", i, None, None, None, t, a, None, y, "V", "", "abstract", "article", False) for i, (t, a, y) in enumerate(rows)], WORK)
 
 
-def test_no_matching_pair_is_lost(spark):
+@pytest.mark.parametrize("sent", [2_000, 0])
+def test_no_matching_pair_is_lost(spark, monkeypatch, sent):
+    monkeypatch.setattr(match, "SENT", sent)
     rng = random.Random(1)
     names = ["Hurd, H", "John Gardner", "Moore", "Li, X"]
     w = [(t, rng.choice(names), 2000) for t in titles(rng, 160)]

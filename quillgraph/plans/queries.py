@@ -116,11 +116,12 @@ def ranked(v):
     lev = materialize(leverage.leverage(v("depths"), v("issues")), "leverage")
     rows = v("works").join(lev, "key").join(v("relevance").select("key", "score"), "key", "left")
     rows = materialize(leverage.fold_truncated(leverage.dedup_titles(rows)), "ranked-rows")
+    cutoffs = leverage.cutoffs(rows)
     ids = citedness.identities(v("works"))
     cited = ids.join(citedness.identity_citedness(v("edges"), ids, lev), "pid").select("key", "in_corpus_weighted")
     glob = citedness.global_citedness(v("works"), v("counts")).select("key", "cite_reliable", "cites_per_year")
     rows = rows.join(cited, "key", "left").join(glob, "key", "left").join(leverage.clusters(rows), "key", "left")
-    return leverage.rank_table(rows.withColumn("author", F.col("author1")), leverage.cutoffs(rows))
+    return leverage.rank_table(rows.withColumn("author", F.col("author1")), cutoffs)
 
 
 TABLE = f"""{LEV}, {ROWS}, {DEDUP}, {FOLD}, {CUTS.format(rows='folded')}, {CITED}, {GLOBAL},

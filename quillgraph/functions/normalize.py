@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ SMALL_WORDS = "a an and as at but by for from in into nor of on onto or over per
 LEAD_STOP = ["the", "a", "an", "on", "of", "in", "to", "for", "and", "or", "is", "are", "some", "what", "how", "why", "does", "do", "as", "from", "with", "two", "no", "not", "this", "that"]
 # Words without weight when a title is looked for in an abstract.
 SIGNIFICANT_STOP = "the a an of on in to and or for is its with without by as at from essay selected essays edition vol volume part introduction".split()
-#: Letters with marks and the letters they stand for without them.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Latin letters with marks, the letters they are without them, and the marks themselves, which go: by Unicode's own decomposition.
+_LATIN = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFKD", c)[0] != c and all(map(unicodedata.combining, unicodedata.normalize("NFKD", c)[1:]))]
+MARKED = "".join(_LATIN) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _LATIN)
 
 RESOLVER = r"^https?://(dx\.)?doi\.org/"
 

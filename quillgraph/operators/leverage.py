@@ -16,9 +16,16 @@ VISIBLE_SHARE, STAR_SHARE, LEAST_SCORED = 0.75, 0.95, 12
 VISIBLE_FALLBACK, STAR_FALLBACK = 9.0, 15.0
 
 
-def core_issues(issues: DataFrame) -> DataFrame:
-    """Issues that count: all that are not marked as not core."""
-    return issues.where(F.coalesce("core", F.lit(True))).select("issue_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+def core_issues(issues: DataFrame, depths: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
+    """Issues that count, with their weights: all that are not marked as not core, or those whose ids begin with a prefix.
+
+    Without any, and with depths (issue_id), every issue that a depth is recorded for counts once.
+    """
+    counts = F.col("issue_id").startswith(prefix) if prefix is not None else F.coalesce("core", F.lit(True))
+    found = issues.where(counts).select("issue_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    if depths is None or found.limit(1).count():
+        return found
+    return depths.select("issue_id").distinct().withColumn("weight", F.lit(1.0))
 
 
 def leverage(depths: DataFrame, issues: DataFrame) -> DataFrame:

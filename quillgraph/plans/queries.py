@@ -18,6 +18,7 @@ from quillgraph.operators import audit, citedness, cluster, enrich, expand, hier
 from quillgraph.operators import seeds as S
 from quillgraph.plans import search
 from quillgraph.plans.views import view, with_views
+from quillgraph.sources import graph as sources
 from quillgraph.sources.scratch import materialize, scratch_path
 
 QUERIES: dict[str, tuple[tuple[str, ...], object, str | None]] = {}
@@ -335,11 +336,13 @@ pair AS (SELECT a.key AS ak, b.key AS bk, a.norm AS an, b.norm AS bn, a.bare AS
 deg AS (SELECT key, sum(i) AS indeg, sum(o) AS outdeg FROM (SELECT src AS key, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY key)"""
 
 
-@query("audit_anomalies", f"""WITH {AUDIT}
-SELECT CASE WHEN an = bn AND (coalesce(ad = bd, FALSE) OR (ad IS NOT NULL AND bd IS NULL AND be) OR (bd IS NOT NULL AND ad IS NULL AND ae) OR (ad IS NOT DISTINCT FROM bd AND (ae OR be))) THEN 'AUTO-exact-twin' ELSE 'S2-neardup' END AS signal, ak AS key, bk AS other FROM pair
+ANOMALIES = """SELECT CASE WHEN an = bn AND (coalesce(ad = bd, FALSE) OR (ad IS NOT NULL AND bd IS NULL AND be) OR (bd IS NOT NULL AND ad IS NULL AND ae) OR (ad IS NOT DISTINCT FROM bd AND (ae OR be))) THEN 'AUTO-exact-twin' ELSE 'S2-neardup' END AS signal, ak AS key, bk AS other FROM pair
 UNION ALL SELECT CASE WHEN bool_or(review) THEN 'S-dupdoi-review' ELSE 'AUTO-same-doi' END, bare, CAST(count(*) AS VARCHAR) FROM fact WHERE bare IS NOT NULL GROUP BY bare HAVING count(*) >= 2
 UNION ALL SELECT 'S1-review-cites', f.key, CAST(CAST(d.indeg AS BIGINT) AS VARCHAR) FROM fact f JOIN deg d ON f.key = d.key WHERE f.review AND d.indeg >= 3 AND d.outdeg = 0
-UNION ALL SELECT 'S5-jstor-book', key, work_type FROM fact WHERE NOT review AND starts_with(bare, '10.2307/') AND work_type IN ('book', 'book-chapter')""", *RES, "edges")
+UNION ALL SELECT 'S5-jstor-book', key, work_type FROM fact WHERE NOT review AND starts_with(bare, '10.2307/') AND work_type IN ('book', 'book-chapter')"""
+
+
+@query("audit_anomalies", f"WITH {AUDIT} {ANOMALIES}", *RES, "edges")
 def _(v):
     return audit.detect(v("works"), v("relevance"), v("edges"), ratio=None)
 
@@ -760,6 +763,137 @@ def _(v):
     return G.saved_entries(v("saved")).drop("name")
 
 
+# ── Worklist and audit reports ───────────────────────────────────────────────
+LINK = "CASE WHEN doi IS NOT NULL THEN concat('https://doi.org/', trim(doi)) ELSE concat('https://openalex.org/', oa_id) END"
+
+
+@query("triage_report", f"""WITH {MATRIX}, deg AS (SELECT dst AS key, count(*) AS indeg FROM edges GROUP BY dst),
+c AS (SELECT w.*, coalesce(d.indeg, 0) AS indeg, r.score, trim(w.abstract) <> '' AS got FROM works w LEFT JOIN relevance r ON w.key = r.key LEFT JOIN deg d ON w.key = d.key WHERE w.key NOT IN (SELECT key FROM mat)
+AND (coalesce(r.deferred, FALSE) OR coalesce(r.reason = 'failed keyword pre-filter', FALSE) OR (trim(w.abstract) = '' AND NOT coalesce(r.score, 0) >= 3)))
+SELECT CASE WHEN got THEN 'recovered' ELSE 'handpull' END AS lane, key, indeg, score, concat_ws('+', CASE WHEN coalesce(score, 1) >= 3 THEN 'title' END, CASE WHEN coalesce(score, 1) >= 2 THEN 'cited' END) AS signal, year,
+ substr(title, 1, 70) AS title, substr(coalesce(venue, ''), 1, 28) AS venue, {LINK} AS link FROM c WHERE indeg >= 3 AND (coalesce(score, 1) >= 3 OR coalesce(score, 1) >= 2)""", *RES, "edges")
+def _(v):
+    rows = worklists.pre_screened(worklists.triage_candidates(v("works"), v("relevance"), matrix(v)), v("edges")).withColumn("got_abstract", P.has_text("abstract"))
+    score = F.coalesce("score", F.lit(1))
+    marked = worklists.surfaced(rows).withColumns({"title_signal": (score >= 3) | F.col("title_pass"), "cite_signal": (F.col("indeg") >= 3) & (score >= 2)})
+    return reports.triage_report(marked.select("key", "lane", "indeg", "score", "title_signal", "cite_signal"), v("works")).orderBy(*worklists.triage_order())
+
+
+RANKED = "rk AS (SELECT key, CAST(1 + ord % 5 AS INT) AS priority, citations > 80 AS exclude, concat('fit of ', title) AS reason, citations AS indeg, CAST(year % 5 AS INT) AS score FROM works WHERE hop = 3)"
+
+
+def ranked_by_hand(v):
+    return v("works").where("hop = 3").select("key", (1 + F.col("ord") % 5).cast("int").alias("priority"), (F.col("citations") > 80).alias("exclude"), F.concat(F.lit("fit of "), "title").alias("reason"), F.col("citations").alias("indeg"), (F.col("year") % 5).alias("score"))
+
+
+@query("ranked_report", f"""WITH {RANKED} SELECT CASE WHEN exclude THEN 'exclude' ELSE 'keep' END AS section, CAST(row_number() OVER (PARTITION BY exclude ORDER BY priority DESC, indeg DESC, lower(title), key) AS INT) AS place, key, priority, indeg, score, year,
+ substr(title, 1, 64) AS title, substr(coalesce(venue, ''), 1, 24) AS venue, substr(reason, 1, 80) AS reason, {LINK} AS link FROM rk JOIN works USING (key)""", "works")
+def _(v):
+    return reports.ranked_report(ranked_by_hand(v), v("works"))
+
+
+@query("priority_spread", f"WITH {RANKED} SELECT CAST(p AS INT) AS priority, CAST(count(key) AS BIGINT) AS n FROM range(1, 6) t(p) LEFT JOIN rk ON rk.priority = p AND NOT exclude GROUP BY p", "works")
+def _(v):
+    return reports.priority_spread(ranked_by_hand(v))
+
+
+@query("no_abstract_report", f"""WITH {LEV}, {NODE_CITED}, {MATRIX}, {RANKED}, tt AS (SELECT m.key FROM mat m JOIN works w ON m.key = w.key WHERE m.text_source = 'title' AND NOT m.is_review AND trim(w.abstract) = '')
+SELECT CASE WHEN coalesce(exclude, FALSE) THEN 'exclude' ELSE 'keep' END AS section, w.key, priority, coalesce(weighted, 0e0) AS weighted, coalesce(raw, 0) AS raw, coalesce(lev, 0e0) AS lev, w.year, substr(w.title, 1, 52) AS title, substr(coalesce(w.author1, ''), 1, 18) AS author, {LINK} AS link
+FROM tt JOIN works w ON tt.key = w.key LEFT JOIN nc ON nc.key = w.key LEFT JOIN lev ON lev.key = w.key LEFT JOIN rk ON rk.key = w.key""", "works", "edges", "depths", "issues")
+def _(v):
+    lev = leverage.leverage(v("depths"), v("issues"))
+    return reports.no_abstract_report(worklists.title_only(matrix(v), v("works")), v("works"), citedness.node_citedness(v("edges"), lev), lev, ranked_by_hand(v))
+
+
+@query("audit_report", f"""WITH {AUDIT}, {MATRIX}, an(signal, key, other) AS ({ANOMALIES}),
+m AS (SELECT signal, a.key AS cluster, w.key FROM an a JOIN works w ON lower(w.doi) = a.key WHERE signal IN ('AUTO-same-doi', 'S-dupdoi-review')
+ UNION ALL SELECT signal, CASE WHEN signal IN ('AUTO-exact-twin', 'S2-neardup') THEN concat(key, ' ', other) ELSE key END, key FROM an WHERE signal NOT IN ('AUTO-same-doi', 'S-dupdoi-review')
+ UNION ALL SELECT signal, concat(key, ' ', other), other FROM an WHERE signal IN ('AUTO-exact-twin', 'S2-neardup'))
+SELECT CASE WHEN starts_with(signal, 'AUTO') THEN 'auto' ELSE 'gated' END AS section, m.signal, m.cluster, m.key, substr(w.title, 1, 60) AS title, author1, year, work_type, w.is_review, trim(abstract) <> '' AS has_abstract, CAST(coalesce(indeg, 0) AS BIGINT) AS indeg, CAST(coalesce(outdeg, 0) AS BIGINT) AS outdeg, mat.text_source
+FROM m JOIN works w ON m.key = w.key LEFT JOIN deg ON deg.key = w.key LEFT JOIN mat ON mat.key = w.key""", *RES, "edges")
+def _(v):
+    found = audit.detect(v("works"), v("relevance"), v("edges"), ratio=None)
+    return reports.audit_report(found, v("works"), citedness.degrees(v("edges")), matrix(v))
+
+
+# ── Links, filled worklists, records ─────────────────────────────────────────
+@query("resolved_links", """WITH l AS (SELECT w.*, t, os FROM works w JOIN letters x ON w.key = x.key WHERE w.doi IS NULL AND w.hop <> 3)
+SELECT key, CASE k WHEN 'doi' THEN concat('https://doi.org/', r) WHEN 'landing' THEN concat('https://a.org/', os) WHEN 'oa' THEN CASE WHEN n = 4 THEN concat('https://b.org/', os) WHEN n = 5 THEN concat('https://c.org/', os) ELSE concat('https://d.org/', os) END WHEN 'record' THEN concat('https://s.org/', os) WHEN 'philpapers_search' THEN concat('https://philpapers.org/s/', replace(t, ' ', '+')) END AS url, k AS kind, r AS doi_recovered
+FROM (SELECT *, CASE WHEN r IS NOT NULL THEN 'doi' WHEN n = 2 THEN 'landing' WHEN n IN (4, 5) OR (n = 6 AND s2) THEN 'oa' WHEN n = 7 AND s2 THEN 'record' WHEN work_type IN ('article', 'book', 'book-chapter', 'chapter', 'dissertation') AND t <> '' THEN 'philpapers_search' END AS k
+ FROM (SELECT *, citations % 9 AS n, s2_id <> 'None' AS s2, CASE WHEN citations % 9 = 0 THEN concat('10.5/', os) WHEN citations % 9 = 1 AND s2_id <> 'None' THEN concat('10.6/', os) END AS r FROM l))""", "works", "letters")
+def _(v):
+    w = v("works").join(v("letters").select("key", "t", "os"), "key").withColumn("title", F.col("t"))
+    n = F.col("citations") % 9
+    at = lambda k, base: F.when(n == k, F.concat(F.lit(base), "os"))
+    oa = w.select("oa_id", at(0, "https://doi.org/10.5/").alias("doi"), F.coalesce(at(2, "https://a.org/"), at(3, "https://doi.org/10.1/")).alias("landing"), at(4, "https://b.org/").alias("best_landing"), F.coalesce(at(5, "https://c.org/"), at(6, "https://dx.doi.org/")).alias("best_pdf"), F.lit("").alias("oa_url"))
+    s2 = w.where("s2_id <> 'None'").select("s2_id", at(1, "doi:10.6/").alias("doi"), at(6, "https://d.org/").alias("pdf"), at(7, "https://s.org/").alias("page"))
+    return enrich.resolved_links(w, oa, s2, w.where("hop = 3").select("key"))
+
+
+@query("worklist_keys", """WITH f AS (SELECT key, ord, doi, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS a FROM works WHERE length(trim(regexp_replace(abstract, '\\s+', ' ', 'g'))) >= 60),
+d AS (SELECT lower(doi) AS d, arg_min(key, ord) AS key FROM works WHERE doi IS NOT NULL GROUP BY 1)
+SELECT ord AS row_id, key, a AS abstract FROM f WHERE ord % 3 = 0 UNION ALL SELECT f.ord, d.key, a FROM f JOIN d ON lower(f.doi) = d.d WHERE ord % 3 = 1""", "works")
+def _(v):
+    keys = F.when(F.col("ord") % 3 == 0, F.concat("key", F.lit("| |no such key"))).when(F.col("ord") % 3 == 2, "no such key")
+    return enrich.worklist_keys(v("works").select(F.col("ord").alias("row_id"), keys.alias("sibling_node_keys"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), "abstract"), v("works"))
+
+
+@query("curated_ingest", """SELECT key, CASE WHEN ord % 4 = 0 THEN concat('second ', title) WHEN ord % 4 = 1 THEN concat('first ', title) ELSE abstract END AS abstract, CASE WHEN ord % 4 = 0 THEN 'excerpt' WHEN ord % 4 = 1 THEN 'publisher' END AS abstract_source, is_review OR ord % 7 = 0 AS is_review FROM works""", "works")
+def _(v):
+    w = v("works")
+    first = w.where("ord % 4 IN (0, 1)").select("ord", F.concat_ws("|", F.lit("gone"), "key").alias("keys"), F.lit("publisher").alias("source"), F.concat(F.lit("first "), "title").alias("text"))
+    second = w.where("ord % 4 = 0").select((F.col("ord") + 10**9).alias("ord"), F.col("key").alias("keys"), F.lit("excerpt").alias("source"), F.concat(F.lit("second "), "title").alias("text"))
+    return enrich.ingest_curated(w, first.unionByName(second), w.where("ord % 7 = 0").select("key")).select("key", "abstract", "abstract_source", "is_review")
+
+
+@query("flat_records", """SELECT title, CASE WHEN ord % 9 = 0 THEN 0 ELSE 6 END AS n_authors, CASE WHEN ord % 9 = 0 THEN NULL ELSE author1 END AS first_author, year, CASE WHEN ord % 2 = 0 THEN venue ELSE '' END AS venue, coalesce(doi, '') AS doi, CASE WHEN ord % 8 = 0 THEN 0 ELSE citations END AS cited_by_count, oa_id AS id FROM works
+UNION ALL SELECT title, CASE WHEN ord % 9 = 0 THEN 0 ELSE 1 END, CASE WHEN ord % 9 = 0 THEN NULL ELSE coalesce(author2, '') END, year, venue, coalesce('https://doi.org/' || doi, ''), citations, s2_id FROM works""", "works")
+def _(v):
+    w = v("works")
+    person = F.struct(F.struct(F.col("author1").alias("display_name")).alias("author"))
+    oa = w.select("title", F.when(F.col("ord") % 9 != 0, F.array_repeat(person, 8)).alias("authorships"), F.col("year").alias("publication_year"), F.when(F.col("ord") % 2 == 0, F.struct(F.struct(F.col("venue").alias("display_name")).alias("source"))).alias("primary_location"), "doi", F.when(F.col("ord") % 8 != 0, F.col("citations")).alias("cited_by_count"), F.col("oa_id").alias("id"))
+    s2 = w.select("title", F.when(F.col("ord") % 9 != 0, F.array(F.struct(F.col("author2").alias("name")))).alias("authors"), "year", "venue", F.struct(F.col("doi").alias("DOI")).alias("externalIds"), F.col("citations").alias("citationCount"), F.col("s2_id").alias("paperId"))
+    flat = lambda df, i: df.select("title", F.size("authors").alias("n_authors"), F.get("authors", F.lit(0)).alias("first_author"), "year", "venue", "doi", "cited_by_count", F.col(i).alias("id"))
+    return flat(sources.flat_openalex(oa), "oa_id").unionByName(flat(sources.flat_s2(s2), "s2_id"))
+
+
+@query("core_issues", "SELECT 'prefix' AS way, issue_id, weight FROM issues WHERE issue_id LIKE 'A%' UNION ALL SELECT 'flag', issue_id, weight FROM issues WHERE core UNION ALL SELECT DISTINCT 'recorded', issue_id, 1e0 FROM depths", "issues", "depths")
+def _(v):
+    ways = {"prefix": leverage.core_issues(v("issues"), prefix="A"), "flag": leverage.core_issues(v("issues"), v("depths")), "recorded": leverage.core_issues(v("issues").limit(0), v("depths"))}
+    parts = [df.select(F.lit(k).alias("way"), "issue_id", F.col("weight").cast("double").alias("weight")) for k, df in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("deaccented", f"SELECT doc_id, translate(concat(text, ' Ǎấñç e\u0301'), '{N.MARKED}', '{N.PLAIN}') AS body FROM documents")
+def _(v):
+    return v("documents").select("doc_id", N.deaccent(F.concat("text", F.lit(" Ǎấñç e\u0301"))).alias("body"))
+
+
+@query("node_keys", f"SELECT key, CASE WHEN coalesce(doi, '') <> '' THEN concat('doi:', doi) WHEN oa_id <> '' THEN concat('oa:', oa_id) END AS built FROM works", "works")
+def _(v):
+    return v("works").select("key", N.node_key("doi", "oa_id", "s2_id", "title").alias("built"))
+
+
+@query("page_spans", "SELECT key, CASE WHEN ord % 4 = 0 THEN CASE WHEN citations + 1 <= 2000 THEN citations + 1 END WHEN ord % 4 = 1 THEN 1 END AS span FROM works", "works")
+def _(v):
+    n = F.col("ord").cast("string")
+    raw = F.when(F.col("ord") % 4 == 0, F.concat(n, F.lit("-"), (F.col("ord") + F.col("citations")).cast("string"))).when(F.col("ord") % 4 == 1, n).when(F.col("ord") % 4 == 2, F.concat(F.lit("e"), n)).otherwise(F.concat(n, F.lit("-1-2")))
+    return v("works").select("key", N.page_span(raw).cast("long").alias("span"))
+
+
+@query("inverted_texts", "SELECT doc_id, array_to_string(list_transform(range(7), lambda i: CASE WHEN i % 3 = 0 THEN 'the' WHEN i = 4 THEN '' ELSE concat('w', i, lang) END), ' ') AS body FROM documents WHERE lang IS NOT NULL")
+def _(v):
+    word = lambda i: F.concat(F.lit(f"w{i}"), "lang")
+    index = F.create_map(F.lit("the"), F.array(F.lit(0), F.lit(3), F.lit(6)), word(1), F.array(F.lit(1)), word(2), F.array(F.lit(2)), word(5), F.array(F.lit(5)))
+    return v("documents").where("lang IS NOT NULL").select("doc_id", N.inverted_index_text(index).alias("body"))
+
+
+@query("seed_references", "SELECT key FROM works WHERE ord % 3 <> 2 AND ord % 5 <> 0", "works")
+def _(v):
+    kinds = F.when(F.col("ord") % 3 == 0, "article").when(F.col("ord") % 3 == 1, "book").otherwise("case")
+    return worklists.seed_references(v("works").withColumns({"type": kinds, "note": F.when(F.col("ord") % 5 == 0, "seen [duplicate]")})).select("key")
+
+
 # ── Notes and cases ──────────────────────────────────────────────────────────
 NOISELESS = "text"
 for _pattern in T.NOISE:

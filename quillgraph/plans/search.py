@@ -34,7 +34,7 @@ def shown(table: DataFrame, query: Column | None = None, show_all: bool = False,
     return rows.where(issue >= 2) if issue is not None else rows
 
 
-def column_order(column: str, descending: bool = False) -> Column:
+def column_order(table: DataFrame, column: str, descending: bool = False) -> Column:
     """Missing values last in both directions; text without regard to case."""
-    c = F.col(column)
+    c = F.lower(column) if table.schema[column].dataType.simpleString() == "string" else F.col(column)
     return c.desc_nulls_last() if descending else c.asc_nulls_last()

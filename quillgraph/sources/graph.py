@@ -10,7 +10,7 @@ from quillgraph.functions import normalize as N
 
 NODE = "title string, authors array<string>, year int, venue string, abstract string, abstract_source string, doi string, oa_id string, s2_id string, citations long, hop int, is_seed boolean, work_type string, is_review boolean"
 GRAPH = f"nodes map<string, struct<{', '.join(f.replace(' ', ': ', 1) for f in NODE.split(', '))}>>, scores map<string, struct<score: int, reason: string, deferred: boolean>>, edges array<struct<`from`: string, `to`: string, hop: int>>"
-ISSUES = "description string, issues array<struct<id: string, label: string, question: string, weight: double, core: boolean>>"
+ISSUES = "description string, depth_scale map<string, string>, issues array<struct<id: string, label: string, question: string, weight: double, core: boolean>>"
 MATRIX = "rows array<struct<key: string, title: string, authors: array<string>, year: int, score: int, text_source: string, scores: map<string, int>, note: string, is_review: boolean, score_error: boolean>>"
 
 
@@ -28,6 +28,27 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("issues").alias("ord", "i")).select(F.col("i.id").alias("issue_id"), "i.label", "i.question", F.coalesce("i.weight", F.lit(1.0)).alias("weight"), F.coalesce("i.core", F.lit(True)).alias("core"), "ord")
 
 
+def read_depth_scale(spark: SparkSession, path: str) -> DataFrame:
+    """(depth, meaning) of an issues file."""
+    raw = spark.read.schema(ISSUES).json(path, multiLine=True)
+    return raw.select(F.explode("depth_scale").alias("depth", "meaning")).select(F.col("depth").try_cast("int").alias("depth"), "meaning")
+
+
+def flat_openalex(works: DataFrame) -> DataFrame:
+    """Records of the works service as flat rows: six authors at most, blanks for what is missing."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    authors = F.transform(F.slice(F.coalesce("authorships", F.array().cast("array<struct<author:struct<display_name:string>>>")), 1, 6), lambda a: blank(a["author"]["display_name"]))
+    return works.select(blank(F.col("title")).alias("title"), authors.alias("authors"), F.col("publication_year").alias("year"), blank(F.col("primary_location.source.display_name")).alias("venue"), blank(F.col("doi")).alias("doi"), F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"), blank(F.col("id")).alias("oa_id"))
+
+
+def flat_s2(papers: DataFrame) -> DataFrame:
+    """Records of the papers service as flat rows; its DOI as a link."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    authors = F.transform(F.slice(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), 1, 6), lambda a: blank(a["name"]))
+    doi = F.when(blank(F.col("externalIds.DOI")) != "", F.concat(F.lit("https://doi.org/"), F.col("externalIds.DOI"))).otherwise("")
+    return papers.select(blank(F.col("title")).alias("title"), authors.alias("authors"), "year", blank(F.col("venue")).alias("venue"), doi.alias("doi"), F.coalesce("citationCount", F.lit(0)).alias("cited_by_count"), blank(F.col("paperId")).alias("s2_id"))
+
+
 def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A table that may not be there yet: then it is empty."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

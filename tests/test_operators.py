@@ -236,7 +236,7 @@ def test_query_agrees_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "labels", "lineitem", "benchmark", "pages"):
+    for table in ("documents", "labels", "lineitem", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = plans.queries()[name](spark, SF)
     expected = con.execute(plans.oracle_sql()[name])

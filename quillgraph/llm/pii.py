@@ -10,7 +10,7 @@ addresses and look-alikes set into places of at most `contexts` texts (the rows
 hash lowest). Training is bounded by these two parameters at any corpus size.
 
 Defined results: a null text is empty and has no span; spans are in code points, end
-exclusive; texts are read whole, however long; rows that repeat are scanned each; a null id stays
+exclusive; every text is scanned by every pattern, whole, however long; rows that repeat are scanned each; a null id stays
 null; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import boosted_trees, pii_training
-from quillgraph.llm.common import release_memory, text_runs, utf8_view
+from quillgraph.llm.common import release_memory, text_runs
 from quillgraph.llm.pii_candidates import KINDS, N_FEATURES, base_spans, candidates, features
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,probability:double>>"
@@ -41,20 +41,6 @@ def train(docs: DataFrame, contexts: int = 2000, planted: int = 15_000, precisio
     return pii_training.fit(sorted(r.t for r in found), planted, precision)
 
 
-def _flagged(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that any pattern can match: with a digit, an @, two colons, or an address written out."""
-    counts = np.zeros(256, np.int64)
-    counts[[*b"0123456789@"]] = 4
-    counts[[*b":"]] = 2
-    weight = np.concatenate([[0], np.cumsum(counts[data], dtype=np.int64)])
-    rows = np.flatnonzero(weight[offsets[1:]] - weight[offsets[:-1]] >= 4)
-    blob, at, spelt = data.tobytes().lower(), 0, []
-    while (at := blob.find(b"dot", at)) >= 0:
-        spelt.append(int(np.searchsorted(offsets, at, "right") - 1))
-        at = max(at + 1, int(offsets[spelt[-1] + 1]) - 2)
-    return np.union1d(rows, np.array(spelt, np.int64)).astype(np.int64)
-
-
 def _select(scored: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int, float]]:
     """Of overlapping picks the likeliest, then longest, then first."""
     import bisect
@@ -103,18 +89,12 @@ def _scanner(model: dict, with_text: bool):
 
     def run(batches):
         for batch in (part for b in batches for part in text_runs(b, 1)):
-            data, offsets = utf8_view(batch.column(1))
-            blob = data.tobytes()
-            rows = _flagged(data, offsets)
-            texts = [blob[offsets[i] : offsets[i + 1]].decode() for i in rows]
-            found = dict(zip(rows.tolist(), scan_texts(texts, model)))
-            spans = [[(KINDS[k], *rest) for k, *rest in found.get(i, [])] for i in range(batch.num_rows)]
-            columns = [batch.column(0), pa.array([[dict(zip(("kind", "start", "end", "base", "probability"), s)) for s in of] for of in spans], kind)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = scan_texts(texts, model)
+            spans = [[dict(zip(("kind", "start", "end", "base", "probability"), (KINDS[k], *rest))) for k, *rest in of] for of in found]
+            columns = [batch.column(0), pa.array(spans, kind)]
             if with_text:
-                whole = batch.column(1).to_pylist()
-                for i, t in zip(rows.tolist(), texts):
-                    whole[i] = redacted(t, found[i])
-                columns.append(pa.array([t or "" for t in whole], pa.string()))
+                columns.append(pa.array([redacted(t, of) for t, of in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "redacted"][: len(columns)])
         release_memory()
 

@@ -132,3 +132,16 @@ def test_isotonic_fit():
         levels = np.unique(score)
         want = max(min(y[(score >= a) & (score <= b)].mean() for b in levels[levels >= s]) for a in levels[levels <= s])
         assert abs(fit[score == s][0] - want) < 1e-9
+
+
+def test_every_text_is_scanned(spark, model):
+    """Addresses with a written-out @ and plain dots, in texts without a digit, an @, a colon or a written-out dot; then mixed texts."""
+    texts = ["Reach me: john.smith (at) example.com please", "mail jane_doe [at] mail.org now", "write to anna.berg {AT} firm.example.net today", "look at the red. Dot", "", "face::beef:cafe is the host", "no data"]
+    rng = random.Random(5)
+    pieces = ["a.b", " (at) ", "[at]", " at ", " @ ", "&#64;", "firm.com", " dot ", "(dot)", ".", "::", "fe80:", "abcd:", "ab", "\n", "é", "415-555-2671", "123-45-6789", " mail "]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [(KINDS.index(s["kind"]), s["start"], s["end"], s["base"]) for s in r.spans] for r in pii.find_personal_data(df, model).collect()}
+    want = pii.scan_texts(texts, model)
+    assert got == {i: [s[:4] for s in spans] for i, spans in enumerate(want)}
+    assert [texts[i][s:e] for i in range(3) for _, s, e, _ in got[i]] == ["john.smith (at) example.com", "jane_doe [at] mail.org", "anna.berg {AT} firm.example.net"]

@@ -73,13 +73,20 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], many: str,
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
-def release_memory() -> None:
-    """Give freed memory back at the end of a task: Python workers are used again by later stages, beside the executor's heap."""
+def release_memory(keep_tokens: bool = False) -> None:
+    """Give freed memory back at the end of a task: Python workers are used again by later stages, beside the executor's heap.
+
+    A vocabulary and its caches go too, unless the stage's next task uses them.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    from quillgraph.llm import tokens
+
+    if not keep_tokens:
+        tokens.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

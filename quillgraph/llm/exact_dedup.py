@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, partitions, text_or_empty
+from quillgraph.llm.common import materialize, partitions, release_memory, text_or_empty
 
 #: The longest prefix in bits: the directory has 2**MAX_DEPTH slots at most.
 MAX_DEPTH = 16
@@ -76,6 +76,7 @@ def _collapse(directory: np.ndarray):
                 ],
                 names=names,
             )
+        release_memory()
 
     return run
 
@@ -98,6 +99,7 @@ def _chain(batches):
                 chain[e] = t
                 out.append(e)
         yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(out, pa.int64())], names=["entry", "class_entry"])
+    release_memory()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512) -> DataFrame:

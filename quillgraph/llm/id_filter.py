@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import release_memory
+
 
 def place(*keys: str, bits: int = 23) -> Column:
     """A key's place in the filter."""
@@ -36,6 +38,7 @@ def _split(table: np.ndarray, keep: bool):
         for batch in batches:
             got = passes(table, batch.column(batch.num_columns - 1).to_numpy())
             yield batch.filter(pa.array(got if keep else ~got)).select(batch.schema.names[:-1])
+        release_memory()
 
     return run
 

@@ -104,6 +104,7 @@ def _passed(bits: np.ndarray):
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(id_filter.passes(bits, batch.column(2).to_numpy()))).select(["id", "text"])
+        release_memory()
 
     return run
 

@@ -50,7 +50,7 @@ def _cutter(path: str, capacity: int, end_id: int):
                         out[name].append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-        release_memory()
+        release_memory(keep_tokens=True)
 
     return run
 

@@ -23,7 +23,7 @@ from quillgraph.llm.common import crc_mod, release_memory, text_runs, utf8_view
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\f\r", b".,;:?'\"()", b"!", b"|", b"#*$%&<>", b"/\\@_=+-[]{}~^`", bytes(range(128, 256)))
 N_FEATURES = len(CLASSES) + 9
 #: Bytes that are classed at a time.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 def _class_table() -> np.ndarray:
@@ -69,13 +69,16 @@ def document_features(texts: pa.Array) -> np.ndarray:
 
 
 def _featurize(batches):
+    release_memory()  # of earlier stages
     for batch in (part for b in batches for part in text_runs(b, 0)):
         x = document_features(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "doc_id", "h"])
+    release_memory()
 
 
 def _scorer(model: dict):
     def run(batches):
+        release_memory()  # of earlier stages
         for batch in (part for b in batches for part in text_runs(b, 1)):
             score = boosted_trees.predict(model, document_features(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
@@ -110,6 +113,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
 
 def _keeper(model: dict, at: int, threshold: float):
     def run(batches):
+        release_memory()  # of earlier stages
         for batch in (part for b in batches for part in text_runs(b, at)):
             score = boosted_trees.predict(model, document_features(batch.column(at))) if batch.num_rows else np.zeros(0)
             yield batch.filter(pa.array(score >= threshold))

@@ -57,6 +57,11 @@ def _chunks(path: str) -> _Chunks:
     return _Chunks(tokenizer, tokenizer.model if known else None)
 
 
+def forget() -> None:
+    """Drop vocabularies and their caches; the next text reads them again."""
+    _chunks.cache_clear()
+
+
 def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
